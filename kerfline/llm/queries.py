@@ -1,0 +1,18 @@
+"""Registered queries of the training-data operators, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kerfline.session import table
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.llm.encoding import encode
+
+    return encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p6_ids": p6_ids}
+
+SQL: dict[str, str] = {}
