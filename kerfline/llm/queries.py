@@ -13,6 +13,30 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.llm.mixing import mixture_of
+
+    return mixture_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.llm.mixing import mixture_of
+
+    return mixture_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.llm.quality import classify, text_statistics
+
+    # common_words is a fixed table of a few hundred words
+    words = [r.word for r in table(spark, sf_dir, "common_words").select("word").collect()]
+    return classify(text_statistics(table(spark, sf_dir, "documents"), words))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 SQL: dict[str, str] = {}
