@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "p3_found"
+from kerfline.plans import training
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+FLAGSHIP = "p4_found"
+
+QUERIES: dict = {**training.QUERIES}
+SQL: dict[str, str] = {**training.SQL}

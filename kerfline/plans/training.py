@@ -1,0 +1,22 @@
+"""Queries of the general training-data operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kerfline.session import table
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.operators.neardup import near_duplicate_records
+
+    parts = []
+    for kind, name, key in (("strip", "knowledge_strips", "strip_id"), ("document", "parsed_docs", "doc_id")):
+        pairs = near_duplicate_records(table(spark, sf_dir, name), key, "content", threshold=0.6, width=3, min_words=20)
+        parts.append(pairs.select(F.lit(kind).alias("item_kind"), "id_a", "id_b"))
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {"p4_found": p4_found}
+SQL: dict[str, str] = {}
