@@ -60,13 +60,13 @@ def text_statistics(df: DataFrame, common_words: list[str], key: str = "doc_id",
     a = df.select(F.col(key), F.col(text).alias("_t")).select(
         key,
         F.length(t).alias("_all"),
-        F.filter(F.split(t, r"\s+"), lambda c: c != "").alias("_chunks"),
+        F.filter(F.split(t, r"(?U)\s+"), lambda c: c != "").alias("_chunks"),
         without("0123456789").alias("_digits"),
         without(VOWELS).alias("_vowels"),
         (F.length(t) - F.length(F.regexp_replace(t, MARKUP, ""))).alias("_markup"),
         F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}]+"), 0).alias("_words"),
         F.transform(
-            F.filter(F.split(t, BREAK), lambda x: F.length(F.trim(x)) > 0),
+            F.filter(F.split(t, BREAK), lambda x: x.rlike(r"[^\s\u00a0\u1680\u2000-\u200b\u202f\u205f\u2060\u3000\ufeff]")),
             lambda x: F.struct(
                 F.length(x).alias("n"),
                 F.when(cells(x), "c").when(x.rlike(MARKED), "m").when((F.length(x) <= 150) & x.rlike(OPEN_ENDED), "o").when((F.length(x) <= 240) & x.rlike(TERM), "t").otherwise("p").alias("k"),
