@@ -18,5 +18,44 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p4_found": p4_found}
-SQL: dict[str, str] = {}
+def _oversized(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    from kerfline.operators.splitting import piece_table
+
+    docs, strips = table(spark, sf_dir, "parsed_docs"), table(spark, sf_dir, "knowledge_strips")
+    sections = docs.select("doc_id", F.posexplode("sections").alias("n", "s"))
+    one = [("item_kind", "string"), ("item_id", "bigint"), ("section_no", "int"), ("content", "string")]
+    rows = [
+        docs.select(F.lit("document"), "doc_id", F.lit(-1), "content"),
+        sections.select(F.lit("section"), "doc_id", "n", "s.content"),
+        strips.select(F.lit("strip"), "strip_id", F.lit(-1), "content"),
+    ]
+    items = rows[0].toDF(*[n for n, _ in one])
+    for r in rows[1:]:
+        items = items.unionByName(r.toDF(*[n for n, _ in one]))
+    # a fixed table of one row per kind
+    limits = F.broadcast(table(spark, sf_dir, "size_limits"))
+    return piece_table(items.join(limits, "item_kind"), ["item_kind", "item_id", "section_no"], "content", "max_chars", "overlap_chars", with_text)
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _oversized(spark, sf_dir, True)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _oversized(spark, sf_dir, False).where("piece_no = 0").select("item_kind", "item_id", "section_no")
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found}
+SQL: dict[str, str] = {
+    "p3_found": """
+SELECT DISTINCT 'document' AS item_kind, doc_id AS item_id, CAST(-1 AS INTEGER) AS section_no FROM parsed_docs
+WHERE length(content) > (SELECT max_chars FROM size_limits WHERE item_kind = 'document')
+UNION ALL
+SELECT DISTINCT 'strip', strip_id, -1 FROM knowledge_strips
+WHERE length(content) > (SELECT max_chars FROM size_limits WHERE item_kind = 'strip')
+UNION ALL
+SELECT DISTINCT 'section', doc_id, CAST(n - 1 AS INTEGER) FROM (
+  SELECT doc_id, unnest(sections) AS s, generate_subscripts(sections, 1) AS n FROM parsed_docs)
+WHERE length(s.content) > (SELECT max_chars FROM size_limits WHERE item_kind = 'section')
+""",
+}
