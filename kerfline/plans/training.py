@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from kerfline.session import table
 
 
+def _linked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.operators.names import link_names
+
+    return link_names(table(spark, sf_dir, "document_metadata"), ["author", "owner", "approver"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.operators.names import linked_pairs
+
+    return linked_pairs(_linked_names(spark, sf_dir))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked_names(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerfline.operators.neardup import near_duplicate_records
 
@@ -45,7 +61,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oversized(spark, sf_dir, False).where("piece_no = 0").select("item_kind", "item_id", "section_no")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found}
 SQL: dict[str, str] = {
     "p3_found": """
 SELECT DISTINCT 'document' AS item_kind, doc_id AS item_id, CAST(-1 AS INTEGER) AS section_no FROM parsed_docs
