@@ -3,8 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kerfline.session import table
+from kerfline.session import latest_per_key, table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.llm.pairs import defects
+
+    results = latest_per_key(table(spark, sf_dir, "crag_results").select("result_id", "query", "answer", "logged_at"), "result_id", "logged_at")
+    responses = table(spark, sf_dir, "generated_responses").select("response_id", "result_id", "answer").dropDuplicates(["response_id"])
+    pairs = results.select(F.lit("result").alias("rec_kind"), F.col("result_id").alias("rec_id"), "query", "answer").unionByName(
+        responses.join(results.select("result_id", "query"), "result_id", "left").select(F.lit("response").alias("rec_kind"), F.col("response_id").alias("rec_id"), "query", "answer")
+    )
+    # common_words is a fixed table of a few hundred words
+    common = [(r.lang, r.word) for r in table(spark, sf_dir, "common_words").collect()]
+    return defects(pairs, common, ["rec_kind", "rec_id"])
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +51,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 SQL: dict[str, str] = {}
