@@ -21,6 +21,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects(pairs, common, ["rec_kind", "rec_id"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.llm.scanned import find_noise
+
+    return find_noise(table(spark, sf_dir, "parsed_docs")).select("doc_id", "field", "pos", "noise").distinct()
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.llm.scanned import repair
+
+    return repair(table(spark, sf_dir, "parsed_docs"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerfline.llm.encoding import encode
 
@@ -51,6 +63,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 SQL: dict[str, str] = {}
