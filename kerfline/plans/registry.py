@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kerfline.plans import training
+from kerfline.plans import reference, training
 
 FLAGSHIP = "p4_found"
 
-QUERIES: dict = {**training.QUERIES}
-SQL: dict[str, str] = {**training.SQL}
+QUERIES: dict = {**reference.QUERIES, **training.QUERIES}
+SQL: dict[str, str] = {**reference.SQL, **training.SQL}
