@@ -250,7 +250,7 @@ pairs AS (SELECT response_id, strip_id, result_id, lower(r.query) AS q, coalesce
   FROM used JOIN {RESULTS} r USING (result_id) JOIN {STRIPS} USING (strip_id)),
 words AS (SELECT response_id, strip_id, round(coalesce(sum(CASE WHEN contains(low, word) THEN weight
     WHEN contains(low, word || 's') OR (ends_with(word, 's') AND contains(low, rtrim(word, 's'))) THEN 0.8 * weight
-    WHEN length(word) > 4 AND contains(low, substr(word, 1, 4)) THEN 0.5 * weight ELSE 0 END) / sum(weight), 0), 6) AS keyword
+    WHEN length(word) > 4 AND contains(low, substr(word, 1, 4)) THEN 0.5 * weight ELSE 0 END) / sum(weight), 0), 9) AS keyword
   FROM pairs LEFT JOIN concepts USING (result_id) GROUP BY ALL),
 scored AS (SELECT p.*, keyword, len({_WORDS.format('content')}) AS n, (CASE
     WHEN contains(q, 'comment') AND (contains(q, 'fonctionne') OR contains(q, 'marche')) AND strip_type = 'definition' THEN 0.8
@@ -262,8 +262,8 @@ means AS (SELECT *, (keyword * 0.30 + content_type * 0.20 + 0.5::DOUBLE * 0.25)
 step1 AS (SELECT *, CASE WHEN n < 5 THEN mean * 0.7 ELSE mean END AS s1 FROM means),
 step2 AS (SELECT *, CASE WHEN contains(q, 'comment') AND contains(q, 'fonctionne') AND {sql_any('low', ['utilise', 'permet', 'mécanisme', 'processus'])} THEN least(1.0::DOUBLE, s1 * 1.2) ELSE s1 END AS s2 FROM step1),
 graded AS (SELECT response_id, strip_id, content, low, strip_type, keyword, content_type,
-  round(CASE WHEN (contains(q, 'comment') OR contains(q, 'fonctionnement')) AND n < 20 AND regexp_matches(low, '(^|[^0-9A-Za-z_])(19|20)[0-9]{{2}}([^0-9A-Za-z_]|$)') THEN s2 * 0.5 ELSE s2 END, 6) AS score,
-  round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, 1 - 2 * ((keyword - centre) ** 2 + (content_type - centre) ** 2 + (0.5 - centre) ** 2) / 3)), 6) AS confidence FROM step2)"""
+  round(CASE WHEN (contains(q, 'comment') OR contains(q, 'fonctionnement')) AND n < 20 AND regexp_matches(low, '(^|[^0-9A-Za-z_])(19|20)[0-9]{{2}}([^0-9A-Za-z_]|$)') THEN s2 * 0.5 ELSE s2 END, 9) AS score,
+  round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, 1 - 2 * ((keyword - centre) ** 2 + (content_type - centre) ** 2 + (0.5 - centre) ** 2) / 3)), 9) AS confidence FROM step2)"""
 _SIGNATURE = "array_to_string(list_sort(list_transform(list_slice(list_sort(list_transform(w, lambda x, i: {{'n': -length(x), 'i': i, 'w': x}})), 1, 5), lambda s: s.w)), ' ')".replace("{{", "{").replace("}}", "}")
 _REFINED = (
     _GRADED

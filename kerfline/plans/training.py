@@ -62,7 +62,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found}
+_PAIRS = r"""SELECT '{kind}' AS item_kind, id_a, id_b FROM (
+  SELECT a.id AS id_a, b.id AS id_b, count(*) AS common, any_value(a.n) AS n, any_value(b.n) AS m FROM {kind}_sets a JOIN {kind}_sets b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+WHERE common / (n + m - common) >= 0.6 - 1e-12"""
+_SETS = r"""{kind}_sets AS (SELECT id, unnest(s) AS s, len(s) AS n FROM (
+  SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM (
+    SELECT DISTINCT {key} AS id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE content IS NOT NULL) WHERE len(w) >= 20))"""
+
 SQL: dict[str, str] = {
+    "p4_found": "WITH "
+    + _SETS.format(kind="strip", key="strip_id", table="knowledge_strips")
+    + ", "
+    + _SETS.format(kind="document", key="doc_id", table="parsed_docs")
+    + " "
+    + _PAIRS.format(kind="strip")
+    + " UNION ALL "
+    + _PAIRS.format(kind="document"),
     "p3_found": """
 SELECT DISTINCT 'document' AS item_kind, doc_id AS item_id, CAST(-1 AS INTEGER) AS section_no FROM parsed_docs
 WHERE length(content) > (SELECT max_chars FROM size_limits WHERE item_kind = 'document')
