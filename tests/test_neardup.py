@@ -1,0 +1,69 @@
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from kerfline.operators import neardup as N
+
+WORDS = [f"mot{k}" for k in range(400)]
+
+
+def brute(rows, threshold, width, least):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        if len(w) >= max(least, width):
+            sets.setdefault(i, []).append(frozenset(zip(*(w[k:] for k in range(width)), strict=False)))
+    ids = sorted(sets)
+    return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if any(len(x & y) / len(x | y) >= threshold for x in sets[a] for y in sets[b])}
+
+
+def corpus(n=120, seed=1):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        if i % 3 and rows:
+            w = r.choice(rows)[1].split()
+            for _ in range(r.randrange(4)):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+        else:
+            w = [r.choice(WORDS) for _ in range(r.randrange(25, 90))]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_pairs_equal_brute_force(spark):
+    rows = corpus()
+    rows += [(500, None), (501, ""), (502, "trop court"), (503, "  "), rows[0], (504, rows[1][1]), (505, "long " * 30_000 + "fin")]
+    df = spark.createDataFrame(rows, "id bigint, x string").withColumn("t", F.lit(1)).withColumn("key", F.lit("a"))
+    for threshold, width, least in ((0.6, 3, 20), (0.8, 5, 1)):
+        got = {tuple(r) for r in N.near_duplicate_records(df, "id", "x", threshold, width, least, bands=40, rows=3).collect()}
+        want = brute(rows, threshold, width, least)
+        assert got <= want and len(got) >= 0.98 * len(want) and want
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "id bigint, x string")
+    assert N.near_duplicate_records(df, "id", "x").count() == 0
+
+
+def test_vantage_tree_finds_all_pairs_within_radius():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (60, 2), dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 63, (600, 2), dtype=np.uint64)
+    f = np.concatenate([base, np.repeat(base, 10, 0) ^ flips])
+    got = {(min(a, b), max(a, b)) for x, y in N.vantage_join(f, 20) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    d = np.bitwise_count(f[:, None] ^ f[None]).sum(-1)
+    assert got == {(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if d[i, j] <= 20}
+
+
+def test_large_shards_go_to_the_second_round(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARD_ROWS", 8)
+    rows = corpus(60, 3)
+    base = rows[0][1]
+    rows += [(1000 + k, base + f" fin{k}") for k in range(40)]  # a hot shard of different texts
+    df = spark.createDataFrame(rows, "id bigint, x string")
+    got = {tuple(r) for r in N.near_duplicate_records(df, "id", "x", 0.6, 3, 20, bands=40, rows=3).collect()}
+    want = brute(rows, 0.6, 3, 20)
+    assert got <= want and len(got) >= 0.98 * len(want)
