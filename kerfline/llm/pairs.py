@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
+MARKS = re.compile("[\u0300-\u036f]+")
 #: What stands for "no answer".
 NOTHING = frozenset("|a|r|q|na|n a|none|null|nil|nan|vide|empty|ras|neant|reponse|answer|tbd|todo|undefined|sans reponse|no answer|pas de reponse|aucune reponse|p p|br|div div|respuesta|antwort".split("|"))
 #: Function words that do not end an answer, and votes beside the common-word table.
@@ -71,9 +73,13 @@ REFUSING = [
 ]
 
 
+#: One of these is in every refusal; a cheap first look.
+UNWILLING = re.compile(r"peux|puis|saurais|suis|souhaite|veux|impossible|interdi|defendu|prefer|declin|refus|abst|m'|droit|autoris|permi|acces|possibilite|nous ne|aucune reponse|depasse|sort|excede|releve pas|entre pas|empech|cannot|can not|can't|could not|unable|able|won't|will not|not|rather|pass|refrain|outside|beyond|setup|configur|instruct|rules|guideline|setting|no puedo|imposible|rechaz|no estoy|ich |mir ").search
+
+
 def fold(s: str) -> str:
     s = s.replace("’", "'").replace("œ", "oe").replace("Œ", "oe")
-    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
+    return s.lower() if s.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", s)).lower()
 
 
 # -- empty and refusal -------------------------------------------------------
@@ -86,7 +92,7 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     text = fold(QUOTED.sub(" ", answer))
-    return any(p.search(text) for p in REFUSING)
+    return bool(UNWILLING(text)) and any(p.search(text) for p in REFUSING)
 
 
 # -- copies --------------------------------------------------------------------
@@ -142,6 +148,9 @@ def copied_share(prompt: str, answer: str, least: int = 3) -> tuple[float, float
     q, a = WORD.findall(fold(prompt)), WORD.findall(fold(answer))
     if not q or not a:
         return 0.0, 0.0
+    known = set(q)
+    if sum(w not in known for w in a) > max(2, 0.2 * len(a)):  # too many words of its own to be covered
+        return 0.0, 0.0
     runs = SuffixAutomaton(q).runs(a)
     covered, until = 0, len(a)
     for k in range(len(a) - 1, -1, -1):
@@ -215,11 +224,13 @@ def open_delimiters(text: str) -> int:
 
 
 def is_truncated(answer: str, last_seen: int, functions: frozenset[str]) -> bool:
-    """``last_seen``: in how many answers and prompts the last word is found."""
+    """``last_seen``: how often the last word is found in all answers and prompts."""
     t = answer.rstrip()
     if open_delimiters(t):
         return True
     tail = t[-1]
+    if re.search(r"(?:^|\W)(?:qu|[a-z])['’]$", t.lower()):  # an elision
+        return True
     if tail in ".!?»)]”\"’'":
         return t.endswith(("..", "…")) and len(WORD.findall(t)) > 3
     if tail in ",;:-–—/…(":
@@ -235,7 +246,7 @@ def is_truncated(answer: str, last_seen: int, functions: frozenset[str]) -> bool
         other = [WORD.findall(x)[-1] for x in lines[:-1] if ITEM.match(x) and WORD.findall(x)]
         named = bool(other) and all(not w[:1].islower() for w in other)
         return last_seen <= 1 or (named and words[-1][:1].islower())
-    return len(words) > 9 or (len(words) > 3 and last_seen <= 1 and not any(c.isdigit() for c in last))
+    return len(words) > 9 or (len(words) > 5 and last_seen <= 1 and not any(c.isdigit() for c in last))
 
 
 def defect_of(prompt: str | None, answer: str | None, last_seen: int, votes: Votes, functions: dict[str, frozenset[str]]) -> str | None:
@@ -251,15 +262,36 @@ def defect_of(prompt: str | None, answer: str | None, last_seen: int, votes: Vot
     return "truncated" if is_truncated(answer, last_seen, functions[max(counts, key=counts.get)]) else None
 
 
+def _word_counts(text: DataFrame) -> DataFrame:
+    """(w, n): words of prompts and answers, summed per batch."""
+
+    def run(batches):
+        for b in batches:
+            chunks: Counter[str] = Counter()
+            for j in range(2):
+                for t in b.column(j).to_pylist():
+                    if t:
+                        chunks.update(t.lower().split())
+            n: Counter[str] = Counter()
+            for c, k in chunks.items():
+                for w in WORD.findall(c):
+                    n[w] += k
+            yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["w", "n"])
+
+    return text.select("_q", "_a").mapInArrow(run, "w string, n bigint")
+
+
 def defects(pairs: DataFrame, common_words: list[tuple[str, str]], keys: list[str], prompt: str = "query", answer: str = "answer") -> DataFrame:
     """(keys, defect) of every defective pair. ``common_words`` is the fixed (lang, word) table."""
     text = pairs.select(*keys, F.col(prompt).alias("_q"), F.col(answer).alias("_a"))
-    # in how many texts the last word of an answer without a final mark is found
-    final = F.regexp_extract(F.col("_a"), r"([\p{L}\p{N}]+)\s*$", 1)
-    open_ = text.where(F.length(final) > 0).select(F.lower(final).alias("w")).distinct()
-    words = text.select(F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "_q", "_a")), r"[^\p{L}\p{N}]+"))).alias("w"))
-    seen = words.join(open_, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("_seen"))
-    ready = text.withColumn("w", F.lower(final)).join(seen, "w", "left").select(*keys, "_q", "_a", F.coalesce("_seen", F.lit(0)).alias("_seen"))
+    # how often the last word of an answer without a final mark is found; few answers have one,
+    # so the rest take no part in the join
+    final = F.lower(F.regexp_extract(F.col("_a"), r"([\p{L}\p{N}]+)\s*$", 1))
+    text = text.withColumn("w", F.coalesce(final, F.lit("")))
+    open_ = text.where("w <> ''")
+    seen = _word_counts(text).join(open_.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.sum("n").alias("_seen"))
+    ready = open_.join(seen, "w", "left").select(*keys, "_q", "_a", F.coalesce("_seen", F.lit(0)).alias("_seen"))
+    ready = ready.unionByName(text.where("w = ''").select(*keys, "_q", "_a", F.lit(0).cast("bigint").alias("_seen")))
     functions = {lang: frozenset(v.split()) for lang, v in FUNCTION.items()}
     n = len(keys)
 
