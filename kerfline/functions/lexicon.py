@@ -90,3 +90,91 @@ QUESTION_WORDS = ["comment", "pourquoi", "quoi", "où", "quand"]
 TYPE_SCORES = {"definition": 0.6, "statement": 0.5, "example": 0.4, "enumeration": 0.5}
 RELEVANCE = [("highly_relevant", 0.8), ("relevant", 0.65), ("somewhat_relevant", 0.5), ("barely_relevant", 0.3)]
 MECHANISM_WORDS = ["mécanisme", "utilise", "permet", "calcule", "traite"]
+
+#: Frameworks and the ways they are written.
+FRAMEWORK_VARIANTS = {
+    "ISO 27001": ["ISO27001", "ISO 27001", "ISO/IEC 27001", "ISO/CEI 27001"],
+    "ISO 27002": ["ISO27002", "ISO 27002", "ISO/IEC 27002"],
+    "ISO 27005": ["ISO27005", "ISO 27005", "ISO/IEC 27005"],
+    "ISO 27017": ["ISO27017", "ISO 27017", "ISO/IEC 27017"],
+    "ISO 27018": ["ISO27018", "ISO 27018", "ISO/IEC 27018"],
+    "ISO 27701": ["ISO27701", "ISO 27701", "ISO/IEC 27701"],
+    "ISO 22301": ["ISO22301", "ISO 22301", "ISO/IEC 22301"],
+    "RGPD": ["RGPD", "GDPR", "Règlement Général sur la Protection des Données"],
+    "NIS": ["NIS", "Directive NIS", "Network and Information Security"],
+    "NIS2": ["NIS2", "NIS 2", "Directive NIS 2"],
+    "LPM": ["LPM", "Loi de Programmation Militaire"],
+    "eIDAS": ["eIDAS", "electronic IDentification Authentication and trust Services"],
+    "PCI DSS": ["PCI DSS", "PCI-DSS", "Payment Card Industry Data Security Standard"],
+    "HIPAA": ["HIPAA", "Health Insurance Portability and Accountability Act"],
+    "SOX": ["SOX", "Sarbanes-Oxley", "Sarbanes Oxley"],
+    "SOC 2": ["SOC 2", "SOC2", "Service Organization Control 2"],
+    "NIST CSF": ["NIST CSF", "NIST Cybersecurity Framework", "NIST Framework"],
+    "CIS Controls": ["CIS Controls", "CIS", "Center for Internet Security"],
+    "ANSSI": ["ANSSI", "Agence Nationale de la Sécurité des Systèmes d'Information"],
+    "RGS": ["RGS", "Référentiel Général de Sécurité"],
+    "EBIOS": ["EBIOS", "EBIOS Risk Manager", "EBIOS RM"],
+}
+SECURITY_DOMAINS = {
+    "Gestion des accès": ["gestion des accès", "access management", "IAM", "authentification", "authentication", "autorisation", "authorization", "privilèges", "privileges", "RBAC", "contrôle d'accès", "access control", "SSO", "MFA", "2FA"],
+    "Sécurité réseau": ["sécurité réseau", "network security", "pare-feu", "firewall", "IDS", "IPS", "DMZ", "segmentation", "VPN", "NAC", "proxy", "WAF"],
+    "Cryptographie": ["cryptographie", "cryptography", "chiffrement", "encryption", "PKI", "certificat", "certificate", "TLS", "SSL", "AES", "RSA", "hash", "signature"],
+    "Sécurité des données": ["sécurité des données", "data security", "classification", "DLP", "Data Loss Prevention", "pseudonymisation", "anonymisation", "minimisation", "retention"],
+    "Continuité": ["continuité", "continuity", "PCA", "PRA", "DRP", "Business Continuity", "Disaster Recovery", "RTO", "RPO", "sauvegarde", "backup", "restauration", "recovery"],
+    "Gestion des incidents": ["incident", "SIEM", "SOC", "CERT", "CSIRT", "forensics", "investigation", "réponse", "response", "escalade", "escalation", "crise", "crisis"],
+    "Gouvernance": ["gouvernance", "governance", "politique", "policy", "procédure", "procedure", "RACI", "comité", "committee", "risque", "risk", "conformité", "compliance"],
+    "Sécurité physique": ["sécurité physique", "physical security", "badge", "biométrie", "biometric", "surveillance", "CCTV", "contrôle d'accès physique", "datacenter"],
+}
+RISK_LEVELS = {
+    "Critique": ["critique", "critical", "très élevé", "very high", "P1", "sévérité 1"],
+    "Élevé": ["élevé", "high", "important", "majeur", "major", "P2", "sévérité 2"],
+    "Moyen": ["moyen", "medium", "modéré", "moderate", "P3", "sévérité 3"],
+    "Faible": ["faible", "low", "mineur", "minor", "P4", "sévérité 4"],
+    "Négligeable": ["négligeable", "negligible", "très faible", "very low"],
+}
+SECURITY_ROLES = {
+    "RSSI": ["RSSI", "CISO", "Chief Information Security Officer", "Responsable de la Sécurité des Systèmes d'Information"],
+    "DPO": ["DPO", "Data Protection Officer", "Délégué à la Protection des Données"],
+    "DSI": ["DSI", "CIO", "Chief Information Officer", "Directeur des Systèmes d'Information"],
+    "Administrateur": ["administrateur", "admin", "sysadmin", "administrator"],
+    "Auditeur": ["auditeur", "auditor", "auditeur interne", "auditeur externe"],
+    "SOC Analyst": ["analyste SOC", "SOC analyst", "opérateur SOC"],
+    "Architect": ["architecte sécurité", "security architect", "architecte SI"],
+}
+SECURITY_DOCUMENT_TYPES = {
+    "security_policy": ["politique de sécurité", "security policy", "pssi"],
+    "security_procedure": ["procédure de sécurité", "security procedure", "mode opératoire"],
+    "risk_assessment": ["analyse de risque", "risk assessment", "ebios"],
+    "audit_report": ["rapport d'audit", "audit report", "compte-rendu d'audit"],
+    "incident_report": ["rapport d'incident", "incident report", "fiche d'incident"],
+    "compliance_matrix": ["matrice de conformité", "compliance matrix", "référentiel"],
+    "security_standard": ["standard de sécurité", "security standard", "norme"],
+    "security_guideline": ["guide de sécurité", "security guideline", "recommandations"],
+}
+SECURITY_KEYWORDS = ["sécurité", "security", "authentification", "authentication", "chiffrement", "encryption", "mot de passe", "password", "vulnérabilité", "vulnerability", "risque", "risk", "conformité", "compliance", "audit", "iso", "rgpd", "gdpr"]
+TOPICS = {
+    "authentification": ["authentification", "authentication", "login", "connexion", "2fa", "mfa"],
+    "mots_de_passe": ["mot de passe", "password", "mdp", "credential"],
+    "chiffrement": ["chiffrement", "encryption", "cryptage", "aes", "rsa"],
+    "conformité": ["conformité", "compliance", "rgpd", "gdpr", "iso", "audit"],
+    "incident": ["incident", "breach", "violation", "compromission"],
+    "sauvegarde": ["sauvegarde", "backup", "restauration", "recovery"],
+    "réseau": ["réseau", "network", "firewall", "pare-feu", "vpn"],
+    "accès": ["accès", "access", "permission", "autorisation", "privilège"],
+}
+SHEET_HEADERS = {
+    "control_matrix": r"contr[ôo]le|control|mesure|measure|exigence|requirement|r[éè]f[ée]rence|reference|statut|status|[ée]tat|state|responsable|owner|criticité|criticality|conforme|compliant|conformit[ée]|compliance",
+    "risk_register": r"risque|risk|menace|threat|impact|probabilit[ée]|probability|niveau|level|score|mitigation|traitement|treatment",
+    "inventory": r"actif|asset|nom|name|type|cat[ée]gorie|category|propri[ée]taire|owner|localisation|location|version|criticité|criticality",
+}
+STATUS = {
+    "compliant": "conforme|ok|compliant|pass|vert|green",
+    "non_compliant": "non.?conforme|nok|ko|fail|rouge|red",
+    "partial": "partiel|partial|orange|jaune|yellow",
+    "na": "n/?a|non.?applicable|not.?applicable",
+}
+QUESTION_INTENTS = {
+    "comment_fonctionne": ["comment.*fonctionne", "comment.*marche", "comment.*(?:fait|font)", "comment.*utilise"],
+    "qu_est_ce_que": ["qu'est[- ]ce", "c'est quoi", "définition", "que sont"],
+    "pourquoi": ["pourquoi", "quelle.*raison", "quel.*but"],
+}

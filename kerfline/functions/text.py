@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hits(lowered: Column, words: list[str], weight: int = 1) -> Column:
     """How many of ``words`` occur in the text, times ``weight`` (substring semantics)."""
     return reduce(lambda a, b: a + b, [lowered.contains(w).cast("int") for w in words]) * weight
@@ -28,11 +33,8 @@ def first_of(lowered: Column, table: dict[str, list[str]], default: str) -> Colu
 
 def best_of(scores: list[tuple[str, Column]], default: str) -> Column:
     """The first label that has the greatest score; ``default`` where no score is positive."""
-    top = F.greatest(*[s for _, s in scores])
-    out = F.when(F.coalesce(top, F.lit(0)) <= 0, F.lit(default))
-    for label, s in scores:
-        out = out.when(s == top, label)
-    return out
+    ranked = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-k).alias("place"), F.lit(label).alias("label")) for k, (label, s) in enumerate(scores)]))
+    return let(ranked, lambda best: F.when(F.coalesce(best["score"], F.lit(0)) <= 0, F.lit(default)).otherwise(best["label"]))
 
 
 def present(lowered: Column, words: list[str]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kerfline.functions import lexicon as L
-from kerfline.functions.text import any_of, words
+from kerfline.functions.text import any_of, let, words
 from kerfline.operators.strips import signature
 
 
@@ -26,7 +26,10 @@ def concepts(query: Column) -> Column:
 
 def keyword_score(query: Column, content: Column) -> Column:
     """Weighted share of the concepts found: whole, as singular or plural (0.8), by their first four letters (0.5)."""
-    low, c = F.lower(content), concepts(query)
+    return let(F.struct(F.lower(content).alias("low"), concepts(query).alias("concepts")), lambda v: _keyword_score(v["low"], v["concepts"]))
+
+
+def _keyword_score(low: Column, c: Column) -> Column:
     found = lambda x: (
         F.when(F.contains(low, x["word"]), x["weight"])
         .when(F.contains(low, F.concat(x["word"], F.lit("s"))) | (x["word"].endswith("s") & F.contains(low, F.rtrim(x["word"], F.lit("s")))), 0.8 * x["weight"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerfline.functions import lexicon as L
-from kerfline.functions.text import any_of, hits
+from kerfline.functions.text import any_of, hits, let
 
 
 def filled(c: Column) -> Column:
@@ -34,10 +34,15 @@ def completeness(df: DataFrame, default_level: str = "Internal") -> DataFrame:
 
 
 def lifecycle(text: Column, superseded_by: Column, version: Column, review: Column, as_of: Column) -> Column:
-    low, out = F.lower(F.coalesce(text, F.lit(""))), F.when(F.lit(False), F.lit(""))
-    for stage, words in L.LIFECYCLE.items():
-        out = out.when(any_of(low, words), stage)
-    return out.when(filled(superseded_by), "obsolete").when(F.lower(F.coalesce(version, F.lit(""))).contains("draft"), "draft").when(review > as_of, "active").otherwise("unknown")
+
+    def named(low: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for stage, words in L.LIFECYCLE.items():
+            out = out.when(any_of(low, words), stage)
+        return out
+
+    said = let(F.lower(F.coalesce(text, F.lit(""))), named)
+    return F.when(said.isNotNull(), said).when(filled(superseded_by), "obsolete").when(F.lower(F.coalesce(version, F.lit(""))).contains("draft"), "draft").when(review > as_of, "active").otherwise("unknown")
 
 
 def references(df: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def confidence(text: Column, errors: Column, tables: Column) -> Column:
     s = s - F.when(n < 100, 0.3).when(n < 500, 0.1).otherwise(0.0)
     s = s + F.when(F.coalesce(F.size(tables), F.lit(0)) > 0, 0.1).otherwise(0.0)
     s = s - F.when((n > 0) & (letters / n < 0.5), 0.2).otherwise(0.0)
-    s = s - F.when(hits(F.lower(t), L.SANITY_WORDS) < 3, 0.1).otherwise(0.0)
+    s = s - F.when(let(F.lower(t), lambda x: hits(x, L.SANITY_WORDS)) < 3, 0.1).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
 
 

@@ -6,27 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kerfline.functions import lexicon as L
-from kerfline.functions.text import any_of, best_of, first_of, hits, present
+from kerfline.functions.text import any_of, best_of, first_of, hits, let, present
 
 
 def category(text: Column) -> Column:
-    low = F.lower(text)
-    return best_of([(name, hits(low, words, weight)) for name, weight, words in L.CATEGORIES], "general")
+    return let(F.lower(text), lambda low: best_of([(name, hits(low, words, weight)) for name, weight, words in L.CATEGORIES], "general"))
 
 
 def compliance_references(text: Column) -> Column:
-    up = F.upper(text)
-    return F.array_sort(F.filter(F.array(*[F.lit(f) for f in L.FRAMEWORKS]), lambda f: up.contains(F.upper(f))))
+    return let(F.upper(text), lambda up: F.array_sort(F.filter(F.array(*[F.lit(f) for f in L.FRAMEWORKS]), lambda f: up.contains(F.upper(f)))))
 
 
 def control_types(text: Column) -> Column:
-    low = F.lower(text)
-    found = F.array(*[F.when(any_of(low, words), F.lit(name)) for name, words in L.CONTROL_TYPES.items()])
-    return F.array_sort(F.array_compact(found))
+    found = let(F.lower(text), lambda low: F.array(*[F.when(any_of(low, words), F.lit(name)) for name, words in L.CONTROL_TYPES.items()]))
+    return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
 
 
 def obligation(text: Column) -> Column:
-    return first_of(F.lower(text), L.OBLIGATIONS, "informational")
+    return let(F.lower(text), lambda low: first_of(low, L.OBLIGATIONS, "informational"))
 
 
 def authority(doc_type: Column) -> Column:
@@ -44,10 +41,14 @@ def mapped_controls(text: Column) -> Column:
     """min(.15, .05 for every control of the first framework that meets a counterpart of it in the text)."""
     iso = F.regexp_extract_all(text, F.lit(r"A\.[0-9]+(?:\.[0-9]+)?"), 0)
     other = F.concat(F.regexp_extract_all(text, F.lit(r"[A-Z]{2}-[0-9]+"), 0), F.regexp_extract_all(text, F.lit(r"CIS\s+[0-9]+"), 0))
-    pairs = F.lit(0)
-    for control, partners in L.CONTROL_MAPPING.items():
-        pairs = pairs + _count(iso, [control]) * _count(other, partners)
-    return F.least(F.lit(0.15), F.lit(0.05) * pairs)
+
+    def bonus(found: Column) -> Column:
+        pairs = F.lit(0)
+        for control, partners in L.CONTROL_MAPPING.items():
+            pairs = pairs + _count(found["iso"], [control]) * _count(found["other"], partners)
+        return F.least(F.lit(0.15), F.lit(0.05) * pairs)
+
+    return let(F.struct(iso.alias("iso"), other.alias("other")), bonus)
 
 
 def signature(text: Column) -> Column:
@@ -59,19 +60,24 @@ def signature(text: Column) -> Column:
 
 def audit_context(query: Column) -> Column:
     """The context with the most matching patterns, the first of equals; otherwise general."""
-    low = F.lower(query)
-    scores = []
-    for name, patterns in L.CONTEXT_PATTERNS.items():
+
+    def matches(low: Column, patterns: list[str]) -> Column:
         n = F.lit(0)
         for p in patterns:
             n = n + low.rlike(p).cast("int")
-        scores.append((name, n))
-    return best_of(scores, "compliance_general")
+        return n
+
+    return let(F.lower(query), lambda low: best_of([(name, matches(low, patterns)) for name, patterns in L.CONTEXT_PATTERNS.items()], "compliance_general"))
 
 
 def audit_bonus(context: Column, doc_type: Column, official: Column, text: Column, base: Column) -> Column:
     """The base score weighted by source, plus required and preferred elements, authority and mapped controls, within [0, 1]."""
-    low, out = F.lower(text), F.when(context == "compliance_general", base)
+    mapped = mapped_controls(text)
+    return let(F.lower(text), lambda low: _audit_score(context, doc_type, official, low, mapped, base))
+
+
+def _audit_score(context: Column, doc_type: Column, official: Column, low: Column, mapped: Column, base: Column) -> Column:
+    out = F.when(context == "compliance_general", base)
     for name, required, preferred, weights, formal in L.AUDIT_RULES:
         weight = F.when(F.lit(False), F.lit(1.0))
         for kind, value in weights.items():
@@ -80,7 +86,7 @@ def audit_bonus(context: Column, doc_type: Column, official: Column, text: Colum
         if formal:
             score = score + F.when(F.coalesce(official, F.lit(False)), 0.1).otherwise(0.0)
         if name in ("iso_27001", "rgpd_gdpr"):
-            score = score + mapped_controls(text)
+            score = score + mapped
         out = out.when(context == name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
     return out.otherwise(base)
 

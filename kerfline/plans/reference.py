@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerfline.functions import lexicon as L
-from kerfline.functions.text import best_of, clean, first_of, hits, table_text
-from kerfline.operators import grading, metadata, retrieval, strips, structure
+from kerfline.functions.text import any_of, best_of, clean, first_of, let, table_text
+from kerfline.operators import grading, metadata, retrieval, security, strips, structure
 from kerfline.session import latest_per_key, table
 
 AS_OF = "2026-01-01"
@@ -60,19 +60,21 @@ def doc_hashes(spark, d):
 def doc_types(spark, d):
     low = F.lower(F.substring(F.coalesce("content", F.lit("")), 1, 2000))
     name = F.lower(F.element_at(F.split(F.coalesce("source_path", F.lit("")), "/"), -1))
-    scores = []
-    for kind, words in L.DOCUMENT_TYPES.items():
-        named = F.lit(0)
+
+    def score(v, words):
+        n = F.lit(0)
         for w in words:
-            named = named + F.when(name.contains(w.replace(" ", "_")) | name.contains(w.replace(" ", "-")), 2).otherwise(0)
-        scores.append((kind, hits(low, words) + named))
-    rows = table(spark, d, "parsed_docs").select("doc_id", "loaded_at", best_of(scores, "general").alias("kind"))
+            n = n + v["low"].contains(w).cast("int") + F.when(v["name"].contains(w.replace(" ", "_")) | v["name"].contains(w.replace(" ", "-")), 2).otherwise(0)
+        return n
+
+    kind = let(F.struct(low.alias("low"), name.alias("name")), lambda v: best_of([(k, score(v, words)) for k, words in L.DOCUMENT_TYPES.items()], "general"))
+    rows = table(spark, d, "parsed_docs").select("doc_id", "loaded_at", kind.alias("kind"))
     return latest_per_key(rows, "doc_id", "loaded_at").select("doc_id", "kind")
 
 
 def doc_strip_types(spark, d):
     low = F.lower(F.substring(F.coalesce("content", F.lit("")), 1, 1000))
-    rows = table(spark, d, "parsed_docs").select("doc_id", "loaded_at", first_of(low, L.STRIP_DOCUMENT_TYPES, "general").alias("kind"))
+    rows = table(spark, d, "parsed_docs").select("doc_id", "loaded_at", let(low, lambda x: first_of(x, L.STRIP_DOCUMENT_TYPES, "general")).alias("kind"))
     return latest_per_key(rows, "doc_id", "loaded_at").select("doc_id", "kind")
 
 
@@ -150,8 +152,8 @@ def strip_domain(spark, d):
         F.array_join(refs, ",").alias("refs"),
         F.array_join(strips.control_types(text), ",").alias("controls"),
         strips.obligation(text).alias("obligation"),
-        (hits(F.lower(text), L.REQUIREMENT_WORDS) > 0).alias("is_requirement"),
-        (hits(F.lower(text), L.CRITICAL_WORDS) > 0).alias("is_critical"),
+        let(F.lower(text), lambda x: any_of(x, L.REQUIREMENT_WORDS)).alias("is_requirement"),
+        let(F.lower(text), lambda x: any_of(x, L.CRITICAL_WORDS)).alias("is_critical"),
         strips.authority(F.coalesce(F.col("context.doc_type"), F.lit("general"))).alias("authority"),
     ).distinct()
 
@@ -228,13 +230,53 @@ def nearest_vectors(spark, d):
     return near.select("query_id", "neighbour_id", "rank", F.round("distance", 5).alias("distance"), F.round("score", 5).alias("score"))
 
 
+# -- security context, pairs, tables ------------------------------------------------------
+def security_context(spark, d):
+    x = security.context(table(spark, d, "parsed_docs").select("doc_id", "content", "loaded_at"), "doc_id", "content")
+    x = x.withColumns({c: F.array_join(c, ",") for c in ("frameworks", "domains", "risks", "roles")})
+    return latest_per_key(x, "doc_id", "loaded_at").drop("loaded_at", "requires")
+
+
+def security_domain_hits(spark, d):
+    return security.domain_hits(table(spark, d, "documents"), "doc_id", "text")
+
+
+def pair_quality(spark, d):
+    rows = table(spark, d, "crag_results").select("result_id", "logged_at", F.round(security.pair_confidence(F.col("query"), F.col("answer")), 4).alias("confidence"), let(F.lower(F.coalesce("answer", F.lit(""))), lambda x: any_of(x, L.SECURITY_KEYWORDS)).alias("has_keywords"), F.array_join(security.topics(F.concat_ws(" ", "query", "answer")), ",").alias("topics"))
+    return latest_per_key(rows, "result_id", "logged_at").drop("logged_at")
+
+
+def table_kinds(spark, d):
+    rows = latest_docs(spark, d, "tables").select("doc_id", F.posexplode("tables").alias("table_no", "t"))
+    return rows.select("doc_id", "table_no", security.table_kind(F.col("t.data")).alias("kind"))
+
+
+def table_statuses(spark, d):
+    cells = latest_docs(spark, d, "tables").select("doc_id", F.explode("tables").alias("t")).select("doc_id", F.explode(F.flatten(F.slice("t.data", 2, 100_000))).alias("cell")).where("coalesce(cell, '') <> ''")
+    return cells.groupBy("doc_id", security.status(F.col("cell")).alias("status")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+def question_intents(spark, d):
+    rows = table(spark, d, "crag_results").select("result_id", "logged_at", security.intent(F.coalesce("query", F.lit(""))).alias("intent"))
+    return latest_per_key(rows, "result_id", "logged_at").select("result_id", "intent")
+
+
+def audited_sources(spark, d):
+    results = latest_per_key(table(spark, d, "crag_results").select("result_id", strips.audit_context(F.coalesce("query", F.lit(""))).alias("context"), "logged_at"), "result_id", "logged_at").select("result_id", F.col("context").alias("audit"))
+    used = table(spark, d, "generated_responses").select("response_id", "result_id", F.explode("sources_used").alias("s")).select("response_id", "result_id", F.expr("try_cast(s AS bigint)").alias("strip_id")).distinct()
+    texts = table(spark, d, "knowledge_strips").select("strip_id", "content", "context").groupBy("strip_id").agg(F.first("content").alias("content"), F.first("context.doc_type").alias("doc_type"), F.first("context.is_official").alias("official"))
+    j = used.join(results, "result_id").join(texts, "strip_id")
+    bonus = strips.audit_bonus(F.col("audit"), F.col("doc_type"), F.col("official"), F.coalesce("content", F.lit("")), F.lit(0.5))
+    return j.select("response_id", "strip_id", "audit", F.round(bonus, 6).alias("score"))
+
+
 def documents_per_day(spark, d):
     from kerfline.streaming.ingest import daily_documents
 
     return daily_documents(spark, f"{d}/parsed_docs.parquet")
 
 
-QUERIES = {f.__name__: f for f in (doc_hashes, doc_types, doc_strip_types, doc_sections, doc_headings, doc_without_repeats, doc_clean, doc_tables, doc_paragraphs, doc_sentences, doc_confidence, doc_warnings, parsing_report, faq_pairs, doc_dates, strip_domain, strip_signatures, strip_mapped_controls, question_contexts, question_concepts, graded_sources, refined_sources, answer_confidence, shortened_answers, metadata_completeness, metadata_lifecycle, reference_edges, compliance_counts, nearest_vectors, documents_per_day)}
+QUERIES = {f.__name__: f for f in (doc_hashes, doc_types, doc_strip_types, doc_sections, doc_headings, doc_without_repeats, doc_clean, doc_tables, doc_paragraphs, doc_sentences, doc_confidence, doc_warnings, parsing_report, faq_pairs, doc_dates, strip_domain, strip_signatures, strip_mapped_controls, question_contexts, question_concepts, graded_sources, refined_sources, answer_confidence, shortened_answers, metadata_completeness, metadata_lifecycle, reference_edges, compliance_counts, nearest_vectors, documents_per_day, security_context, security_domain_hits, pair_quality, table_kinds, table_statuses, question_intents, audited_sources)}
 
 # -- SQL --------------------------------------------------------------------------------
 _KINDS = list(L.DOCUMENT_TYPES)
@@ -273,6 +315,19 @@ one AS (SELECT *, CASE WHEN strip_type = 'definition' THEN 1 WHEN {sql_any('low'
   FROM sig QUALIFY row_number() OVER (PARTITION BY response_id, signature ORDER BY score DESC, strip_id) = 1),
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY response_id ORDER BY phase, score DESC, strip_id) AS INTEGER) AS place FROM one QUALIFY place <= 10)"""
 )
+_named = lambda t: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {sql_any('low', [x.lower() for x in w])} THEN {q(k)} END" for k, w in t.items()) + "], lambda x: x IS NOT NULL)), ',')"
+_count_named = lambda t: "(" + " + ".join(f"(CASE WHEN {sql_any('low', [x.lower() for x in w])} THEN 1 ELSE 0 END)" for w in t.values()) + ")"
+_MAPPED = " + ".join(f"len(list_filter(iso, lambda c: c = {q(c)})) * len(list_filter(other, lambda c: c IN ({', '.join(map(q, p))})))" for c, p in L.CONTROL_MAPPING.items())
+
+
+def _audit_case(rule) -> str:
+    name, required, preferred, weights, formal = rule
+    weight = "CASE " + " ".join(f"WHEN kind = {q(k)} THEN {v}::DOUBLE" for k, v in weights.items()) + " ELSE 1.0::DOUBLE END"
+    score = f"0.5::DOUBLE * {weight} + least(0.2::DOUBLE, 0.05::DOUBLE * {sql_hits('low', required)}) + least(0.1::DOUBLE, 0.02::DOUBLE * {sql_hits('low', preferred)})"
+    score += " + CASE WHEN official THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END" * formal + " + mapped" * (name in ("iso_27001", "rgpd_gdpr"))
+    return f"WHEN audit = {q(name)} THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, {score}))"
+
+
 SQL = {
     "doc_hashes": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "doc_types": f"""SELECT doc_id, {sql_best([(k, f's{i}') for i, k in enumerate(_KINDS)], 'general')} AS kind FROM (
@@ -346,4 +401,26 @@ UNION ALL SELECT document_code, 'superseded_by', superseded_by FROM document_met
     "nearest_vectors": """SELECT query_id, neighbour_id, CAST(rank AS INTEGER) AS rank, round(d, 5) AS distance, round(1 / (1 + d), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbour_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id,
 list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 5""",
     "documents_per_day": f"""SELECT CAST(date_trunc('day', parsing_timestamp) AS DATE) AS day, coalesce(lower(trim(doc_type)), 'unknown') AS doc_type, count(DISTINCT doc_id) AS documents FROM parsed_docs WHERE parsing_timestamp IS NOT NULL GROUP BY 1, 2""",
+    "security_context": f"""SELECT doc_id, frameworks, domains, risks, roles, vulnerabilities, security_kind, least(10, i) AS importance, (i >= 7 OR contains(risks, 'Critique') OR vulnerabilities > 0) AS is_critical FROM (
+SELECT *, 2 * nf + CASE WHEN requires THEN 3 ELSE 0 END + CASE WHEN contains(risks, 'Critique') THEN 5 WHEN contains(risks, 'Élevé') THEN 3 ELSE 0 END + CASE WHEN contains(roles, 'RSSI') OR contains(roles, 'DPO') THEN 2 ELSE 0 END AS i FROM (
+SELECT doc_id, {_named(L.FRAMEWORK_VARIANTS)} AS frameworks, {_count_named(L.FRAMEWORK_VARIANTS)} AS nf, {_named(L.SECURITY_DOMAINS)} AS domains, {_named(L.RISK_LEVELS)} AS risks, {_named(L.SECURITY_ROLES)} AS roles,
+CAST(len(regexp_extract_all(t, 'CVE-[0-9]{{4}}-[0-9]{{4,7}}')) AS INTEGER) AS vulnerabilities, {sql_any('low', L.REQUIREMENT_WORDS)} AS requires, {sql_first('low', L.SECURITY_DOCUMENT_TYPES, 'other')} AS security_kind
+FROM (SELECT doc_id, coalesce(content, '') AS t, lower(coalesce(content, '')) AS low FROM {LATEST_DOCS})))""",
+    "security_domain_hits": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, {q(k)} AS domain, {sql_hits('lower(text)', [x.lower() for x in w])} AS hits FROM documents WHERE text IS NOT NULL" for k, w in L.SECURITY_DOMAINS.items()) + ") WHERE hits > 0",
+    "pair_quality": f"""SELECT result_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - CASE WHEN NOT ends_with(q, '?') AND NOT {sql_any('lower(q)', ['comment', 'pourquoi', 'what', 'how'])} THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN n < 5 THEN 0.3::DOUBLE WHEN n > 500 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END
+- CASE WHEN shared < 2 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)), 4) AS confidence, {sql_any('lower(a)', L.SECURITY_KEYWORDS)} AS has_keywords, array_to_string(list_slice(list_filter([{', '.join(f"CASE WHEN {sql_any('both_low', w)} THEN {q(k)} END" for k, w in L.TOPICS.items())}], lambda x: x IS NOT NULL), 1, 5), ',') AS topics
+FROM (SELECT result_id, coalesce(query, '') AS q, coalesce(answer, '') AS a, lower(concat_ws(' ', query, answer)) AS both_low, len({_WORDS.format("coalesce(answer, '')")}) AS n,
+len(list_distinct(list_intersect({_WORDS.format("lower(coalesce(query, ''))")}, {_WORDS.format("lower(coalesce(answer, ''))")}))) AS shared FROM {RESULTS})""",
+    "table_kinds": f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS table_no, CASE WHEN greatest(c, r, v) < 2 THEN 'generic' WHEN c = greatest(c, r, v) THEN 'control_matrix' WHEN r = greatest(c, r, v) THEN 'risk_register' ELSE 'inventory' END AS kind FROM (
+SELECT doc_id, i, {', '.join(f"coalesce(len(list_filter(head, lambda c: regexp_matches(lower(coalesce(c, '')), {q(p)}))), 0) AS {n}" for n, p in zip('crv', L.SHEET_HEADERS.values(), strict=True))}
+FROM (SELECT doc_id, i, list_filter(t.data, lambda r: len(list_filter(r, lambda c: coalesce(c, '') <> '')) > 0)[1] AS head FROM (SELECT doc_id, unnest(tables) AS t, generate_subscripts(tables, 1) AS i FROM {LATEST_DOCS})))""",
+    "table_statuses": f"""SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(lower(cell), {q(p)}) THEN {q(k)}" for k, p in L.STATUS.items())} ELSE 'non_défini' END AS status, count(*) AS cells FROM (
+SELECT doc_id, unnest(flatten(t.data[2:])) AS cell FROM (SELECT doc_id, unnest(tables) AS t FROM {LATEST_DOCS})) WHERE coalesce(cell, '') <> '' GROUP BY 1, 2""",
+    "question_intents": f"""SELECT result_id, CASE {' '.join(f"WHEN regexp_matches(lower(coalesce(query, '')), {q('|'.join(p))}) THEN {q(k)}" for k, p in reversed(L.QUESTION_INTENTS.items()))} ELSE 'general' END AS intent FROM {RESULTS}""",
+    "audited_sources": f"""WITH used AS (SELECT DISTINCT response_id, result_id, TRY_CAST(s AS BIGINT) AS strip_id FROM (SELECT response_id, result_id, unnest(sources_used) AS s FROM generated_responses)),
+ctx AS (SELECT result_id, {sql_best([(n, f'c{i}') for i, n in enumerate(L.CONTEXT_PATTERNS)], 'compliance_general')} AS audit FROM (SELECT result_id, {', '.join(' + '.join(f"regexp_matches(low, {q(p)})::INT" for p in ps) + f' AS c{i}' for i, ps in enumerate(L.CONTEXT_PATTERNS.values()))}
+  FROM (SELECT result_id, lower(coalesce(query, '')) AS low FROM {RESULTS}))),
+j AS (SELECT response_id, strip_id, audit, context.doc_type AS kind, coalesce(context.is_official, false) AS official, coalesce(content, '') AS t, lower(coalesce(content, '')) AS low FROM used JOIN ctx USING (result_id) JOIN {STRIPS} USING (strip_id)),
+m AS (SELECT *, least(0.15::DOUBLE, 0.05::DOUBLE * ({_MAPPED})) AS mapped FROM (SELECT *, regexp_extract_all(t, 'A\.[0-9]+(?:\.[0-9]+)?') AS iso, list_concat(regexp_extract_all(t, '[A-Z]{{2}}-[0-9]+'), regexp_extract_all(t, 'CIS\s+[0-9]+')) AS other FROM j))
+SELECT response_id, strip_id, audit, round(CASE {' '.join(_audit_case(r) for r in L.AUDIT_RULES)} ELSE 0.5::DOUBLE END, 6) AS score FROM m""",
 }
