@@ -63,7 +63,7 @@ def line_kind(line: str) -> str:
     begins = first.isupper() or first.isdigit()
     if len(line) <= 150 and len(bare) > 1 and (begins or first in "\"«(") and last not in ".!?…:;,-":
         return "o"
-    if len(line) <= 240 and begins and not QUESTION(bare) and TERM(bare):
+    if len(line) <= 240 and begins and ". " not in bare and not QUESTION(bare) and TERM(bare):
         return "t"
     return "p"
 
@@ -216,17 +216,20 @@ def rules_to_sql(rules: list[Rule] | tuple[Rule, ...], default: str = "prose") -
     return f"CASE WHEN coalesce(n_lines, 0) = 0 THEN NULL {cases} ELSE '{default}' END"
 
 
-#: Learned by fit_rules on 10,000 labelled documents, thresholds rounded; two rules that
-#: rested on few rows were reviewed by hand (hexadecimal dumps; lists beside hard-wrapped prose).
+#: Learned by fit_rules on 10,000 labelled documents, thresholds rounded; rules that
+#: rested on few rows were reviewed by hand (hexadecimal dumps; garbled letters; the least number of
+#: lines of lists and tables).
 LEARNED_RULES: tuple[Rule, ...] = (
     Rule("junk", (("common_share", "<=", 0.1988), ("mean_line_len", ">", 134.6))),
     Rule("junk", (("unbroken_share", ">", 0.5028), ("cell_share", "<=", 0.5))),
     Rule("junk", (("letter_share", "<=", 0.4077), ("cell_share", "<=", 0.437))),
     Rule("junk", (("digit_share", ">", 0.45), ("single_share", "<=", 0.03), ("mean_word_len", "<=", 2.3))),
     Rule("junk", (("letter_share", "<=", 0.05),)),
-    Rule("table", (("cell_share", ">", 0.5108),)),
+    Rule("junk", (("single_share", ">", 0.33), ("list_share", "<=", 0.3), ("cell_share", "<=", 0.3))),
+    Rule("junk", (("symbol_share", ">", 0.14), ("common_share", "<=", 0.3), ("list_share", "<=", 0.3), ("cell_share", "<=", 0.3))),
+    Rule("table", (("cell_share", ">", 0.5108), ("n_lines", ">", 1))),
     Rule("list", (("marked_share", ">", 0.4736),)),
-    Rule("list", (("list_share", ">", 0.5809), ("lower_start_share", "<=", 0.2))),
+    Rule("list", (("list_share", ">", 0.5809), ("lower_start_share", "<=", 0.2), ("n_lines", ">", 2))),
 )
 
 
