@@ -48,7 +48,10 @@ MARKUP = re.compile(r"<[^<>]{1,80}>|&(?:amp;)*#?[A-Za-z0-9]{1,8};|\\u[0-9a-fA-F]
 VOWELS = re.compile(r"[aeiouyàâäéèêëîïôöùûüœæáíóú]+", re.IGNORECASE).findall
 DIGITS = re.compile(r"\d+").findall
 LONG = re.compile(r"\S{28,}").findall
-FEATURES = ("n_words", "mean_word_len", "single_share", "common_share", "distinct_share", "letter_share", "digit_share", "symbol_share", "vowel_share", "marked_share", "cell_share", "open_share", "term_share", "list_share", "lower_start_share", "punct_end_share", "markup_share", "unbroken_share", "mean_line_len", "n_lines")
+#: Articles, and function words that do not follow an article in running text.
+ARTICLES = frozenset("le la les un une des du au aux ce cette the a an el los las una der die das den dem ein eine einen".split())
+NOT_NEXT = ARTICLES | frozenset("de à en et est doit peut que dans pour par sur avec of to in is must may that for by with and on at has no y por con se debe und zu von mit ist im muss soll".split())
+FEATURES = ("n_words", "mean_word_len", "single_share", "common_share", "distinct_share", "misplaced_share", "letter_share", "digit_share", "symbol_share", "vowel_share", "marked_share", "cell_share", "open_share", "term_share", "list_share", "lower_start_share", "punct_end_share", "markup_share", "unbroken_share", "mean_line_len", "n_lines")
 
 
 def line_kind(line: str) -> str:
@@ -92,6 +95,7 @@ def measure(text: str | None, common: frozenset[str]) -> tuple:
         sum(map((1).__eq__, map(len, words))) / n if n else None,
         sum(map(common.__contains__, words)) / n if n else None,
         len(set(words)) / n if n else None,
+        sum(a in ARTICLES and b in NOT_NEXT for a, b in zip(words, words[1:], strict=False)) / n if n else None,
         letters / solid,
         digits / solid,
         (solid - in_words) / solid,
@@ -217,7 +221,7 @@ def rules_to_sql(rules: list[Rule] | tuple[Rule, ...], default: str = "prose") -
 
 
 #: Learned by fit_rules on 10,000 labelled documents, thresholds rounded; rules that
-#: rested on few rows were reviewed by hand (hexadecimal dumps; garbled letters; the least number of
+#: rested on few rows were reviewed by hand (hexadecimal dumps; garbled letters; shuffled words; the least number of
 #: lines of lists and tables).
 LEARNED_RULES: tuple[Rule, ...] = (
     Rule("junk", (("common_share", "<=", 0.1988), ("mean_line_len", ">", 134.6))),
@@ -227,6 +231,7 @@ LEARNED_RULES: tuple[Rule, ...] = (
     Rule("junk", (("letter_share", "<=", 0.05),)),
     Rule("junk", (("single_share", ">", 0.33), ("list_share", "<=", 0.3), ("cell_share", "<=", 0.3))),
     Rule("junk", (("symbol_share", ">", 0.14), ("common_share", "<=", 0.3), ("list_share", "<=", 0.3), ("cell_share", "<=", 0.3))),
+    Rule("junk", (("misplaced_share", ">", 0.032), ("n_words", ">", 12), ("list_share", "<=", 0.5), ("cell_share", "<=", 0.3))),
     Rule("table", (("cell_share", ">", 0.5108), ("n_lines", ">", 1))),
     Rule("list", (("marked_share", ">", 0.4736),)),
     Rule("list", (("list_share", ">", 0.5809), ("lower_start_share", "<=", 0.2), ("n_lines", ">", 2))),

@@ -18,6 +18,7 @@ KINDS = [
     ("click " * 90, "junk"),
     ("zxq wvbn plkj qwrt mnbv zxcv qqwz plmk vbnm hjkl wrtp zzxc " * 5, "junk"),
     ("… " * 70, "junk"),
+    ("plus dransor, à fiches l'entité le la documenter chef le développeur les de la un est avant du la revue les le titulaire", "junk"),
     (None, None),
     ("", None),
     (" \n\xa0\t", None),
