@@ -4,9 +4,10 @@
    and placeholders go.
 2. MinHash banding over the padded q-grams of the words that identify an entity. The
    number of bands comes from the collision curve (:func:`bands_for`), for the
-   similarity that one slip of the pen leaves in a short word. Words borne by more than
-   COMMON spellings (given names, kinds of services) identify nobody; a name that has
-   no other word is banded as a whole.
+   similarity that one slip of the pen leaves in a short word. Where a word is borne by
+   more than COMMON spellings (given names, kinds of services), a second key from another
+   word of the name is asked for, so that the number of pairs stays low; nothing that the
+   verification accepts is lost by it. Names of short words only are banded as wholes.
 3. Candidates are verified by Monge-Elkan: every word of the shorter name must have its
    own partner in the longer (equal, a slip, an initial, a shortened or pet form, or an
    acronym of several words), and the mean similarity must reach ``threshold``.
@@ -36,8 +37,10 @@ Q = 2
 ROWS = 3
 #: Similarity of the q-gram sets of a short word and the word with one slip, and the recall aimed at there.
 SLIP_SIMILARITY, RECALL = 0.36, 0.99
-#: A word in more spellings than this names no single entity.
+#: Names that share a word in more spellings than this must also share a second key.
 COMMON = 200
+#: Parts into which the names of a second key are dealt.
+SALT = 8
 THRESHOLD = 0.84
 
 # Words without a name in them.
@@ -235,24 +238,64 @@ def _similar(df: DataFrame, column: str, bands: int) -> DataFrame:
     return k.select("key", F.col(column).alias("x")).join(k.select("key", F.col(column).alias("y")), "key").where("x < y").select("x", "y").distinct()
 
 
+def second_keys(words: list[str], w: str) -> set[tuple[str, bool]]:
+    """(key, whether it asks) of the words beside ``w``: two names that can be one entity by ``w`` have a key in common that one of them asks for."""
+    rest = [v.rstrip(".") for v in words if v.rstrip(".") not in SMALL]
+    if w in rest:
+        rest.remove(w)
+    got = {("*", not rest)}  # a lone word is compared with all
+    for v in rest:
+        got.add((f"1{v[0]}", len(v) == 1))  # an initial
+        got.add((f"a{v[0]}", False))
+        if 2 <= len(v) <= 6:
+            got.add((f"a{v[0]}", True))  # it may be an acronym of several words
+        if len(v) > 1:
+            got |= {(f"2{x[:2]}", True) for x in (v, *PET_FORMS.get(v, "").split())}  # equal, shortened, pet form
+        if len(v) > 2:  # one slip leaves the beginning, the end or both outer letters
+            got |= {(f"e{v[-2:]}", True), (f"f{v[0]}{v[-1]}", True)}
+        if len(v) > 8:  # two slips break eight trigrams at most, a word of nine letters has nine
+            got |= {(f"3{t}", True) for t in (f"^{v}$"[k : k + 3] for k in range(len(v)))}
+    if len(rest) < 2:  # an acronym stands for two words or more
+        got = {(k, asks) for k, asks in got if k[0] != "a" or asks}
+    return got
+
+
+def _keyed(words: DataFrame) -> DataFrame:
+    """(name, w, key, asks) from (name, w, words)."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(n, w, k, asks) for n, w, v in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True) for k, asks in second_keys(v, w)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string()] * 3 + [pa.bool_()], strict=True)], names=["name", "w", "key", "asks"])
+
+    return words.select("name", "w", "words").mapInArrow(run, "name string, w string, key string, asks boolean")
+
+
 def candidates(parsed: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of names that share an identifying word, or one with a slip."""
+    """(a, b), a < b: pairs of names that share an identifying word, or one with a slip; of common words, those that share a second key too."""
     bands = bands_for(SLIP_SIMILARITY, RECALL, ROWS)
     word = parsed.select("name", F.explode("strong").alias("w")).distinct()
     df = word.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rare = word.join(df.where(F.col("df") <= COMMON), "w").select("name", "w")
-    pairs = _similar(rare.select("w").distinct(), "w", bands)
+    pairs = _similar(df.select("w"), "w", bands)
     near = F.levenshtein("x", "y") <= 2  # at most two edits; a swap of neighbours is two
     both = pairs.where(near)
-    links = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(rare.select(F.col("w").alias("x"), F.col("w").alias("y")).distinct())
-    a, b = rare.select(F.col("name").alias("a"), F.col("w").alias("x")), rare.select(F.col("name").alias("b"), F.col("w").alias("y"))
-    by_word = links.join(a, "x").join(b, "y").where("a < b").select("a", "b")
-    rest = parsed.join(rare.select("name").distinct(), "name", "left_anti").select(F.col("name"), F.array_join("words", " ").alias("s"))
+    links = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(df.select(F.col("w").alias("x"), F.col("w").alias("y")))
+    links = links.join(df.select(F.col("w").alias("x"), F.col("df").alias("dx")), "x").join(df.select(F.col("w").alias("y"), F.col("df").alias("dy")), "y")
+    links = cut(links.select("x", "y", (F.greatest("dx", "dy") > COMMON).alias("common")))
+    a, b = word.select(F.col("name").alias("a"), F.col("w").alias("x")), word.select(F.col("name").alias("b"), F.col("w").alias("y"))
+    by_word = links.where("NOT common").join(a, "x").join(b, "y").where("a < b").select("a", "b")
+    hot = links.where("common").select("x", "y")
+    keyed = _keyed(word.join(hot.select(F.col("x").alias("w")).distinct(), "w").join(parsed.select("name", "words"), "name"))
+    p = keyed.where("asks").select(F.col("name").alias("p"), F.col("w").alias("x"), "key", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
+    q = keyed.select(F.col("name").alias("q"), F.col("w").alias("y"), "key", F.pmod(F.xxhash64("name"), F.lit(SALT)).cast("int").alias("part"))
+    by_key = hot.join(p, "x").join(q, ["y", "key", "part"]).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    rest = parsed.where(F.size("strong") == 0).select(F.col("name"), F.array_join("words", " ").alias("s"))
     whole = _similar(rest.select("s").distinct(), "s", bands)
     whole = whole.unionByName(rest.select(F.col("s").alias("x"), F.col("s").alias("y")).distinct())
     by_whole = whole.join(rest.select(F.col("name").alias("p"), F.col("s").alias("x")), "x").join(rest.select(F.col("name").alias("q"), F.col("s").alias("y")), "y")
     by_whole = by_whole.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    return by_word.unionByName(by_whole).distinct()
+    return by_word.unionByName(by_key).unionByName(by_whole).distinct()
 
 
 def parse(names: DataFrame) -> DataFrame:

@@ -60,3 +60,15 @@ def test_linked_pairs(spark):
 
 def test_empty_table(spark):
     assert N.linked_pairs(N.link_names(spark.createDataFrame([], "author string"), ["author"])).count() == 0
+
+
+def test_common_words_are_met(spark, monkeypatch):
+    rows = [("Jean Martin",), ("Jean Martni",), ("P. Martin",), ("Philibert Martin",), ("Manu Martin",), ("Emmanuel Martin",), ("Ean Martin",), ("Dominique Clougropun",), ("Dominique Colugropuun",), ("Martin",), ("CSN Martin",), ("Comité de Sécurité Numérique Martin",), *((f"{g} Martin",) for g in ("Zoé", "Ugo", "Ines", "Karl"))]
+    parsed = N.parse(spark.createDataFrame([*rows, *((x,) for pair in SAME for x in pair)], "name string").distinct().selectExpr("name", "1L AS n")).cache()
+    edges = lambda: {tuple(r) for r in N.verified(parsed, N.candidates(parsed)).select("a", "b").collect()}
+    monkeypatch.setattr(N, "COMMON", 10**9)
+    want = edges()
+    assert {("Jean Martin", "Jean Martni"), ("P. Martin", "Philibert Martin"), ("Emmanuel Martin", "Manu Martin"), ("Ean Martin", "Jean Martin")} <= want
+    for common in (5, 0):
+        monkeypatch.setattr(N, "COMMON", common)
+        assert edges() == want
