@@ -53,3 +53,8 @@ def test_table(spark):
     hit = sum(got.get(k) == d for k, (_, _, d) in enumerate(CASES))
     assert hit == len(CASES)
     assert P.defects(df.where("rec_id < 0"), COMMON, ["rec_kind", "rec_id"]).count() == 0
+
+
+@pytest.mark.parametrize("answer", ["Prefiero no responder.", "No answer will be given.", "I don't have the right to answer.", "We don't answer such requests.", "Mes consignes ne me permettent pas de répondre.", "Je choisis de ne pas répondre."])
+def test_every_refusal_pattern_is_reached(answer):
+    assert P.is_refusal(answer)
