@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerfline.llm import records
 from kerfline.session import latest_per_key, table
 
 
@@ -63,6 +64,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = records.QUERIES | {"p2_found": p2_found, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**records.SQL}
