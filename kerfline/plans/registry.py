@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kerfline.plans import reference, training
+from kerfline.plans import reference
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "refined_sources"
 
-QUERIES: dict = {**reference.QUERIES, **training.QUERIES}
-SQL: dict[str, str] = {**reference.SQL, **training.SQL}
+QUERIES: dict = {**reference.QUERIES}
+SQL: dict[str, str] = {**reference.SQL}
