@@ -2,13 +2,17 @@
 
 Defects, tested in this order (an answer has one at most):
 empty            nothing is left but marks, placeholders, labels or markup
-refusal          a refusal automaton ends in its accepting state: someone who speaks for the
-                 answerer, then inability or unwillingness, then answering, helping, telling
+refusal          the refusal automaton reaches its accepting state within a sentence: someone
+                 who speaks for the answerer, then inability or unwillingness, then an act
 copied_question  by the suffix automaton of the prompt, runs of the prompt cover the answer
 other_language   stopword votes of the answer (without quotations) are clearly for another
                  language than the prompt's, and the prompt doesn't ask for that
-truncated        the delimiter stack isn't empty at the end, or the answer ends in a comma, a
-                 colon, a function word, a word seen nowhere else, or in mid-sentence
+truncated        the delimiter stack isn't empty at the end, or the end is in a state in which no
+                 sentence ends: after a comma, a colon, an elision, a function word, within a
+                 word of the prompt, or in a sentence without a final mark
+
+Every verdict rests on the pair alone, so it is the same in tables of any size. A word that
+breaks off in a short answer without a final mark can't be told from a whole one.
 
 Defined results: a null answer is empty; with a null prompt there is neither a copy nor
 another language; repeated deliveries of a record are one record; texts of any length are
@@ -19,14 +23,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-MARKS = re.compile("[\u0300-\u036f]+")
+SENTENCE_MARKS = frozenset(".!?")
+TOKEN = re.compile(r"[^\W_]+|[.!?]")
+MARKS = re.compile("[̀-ͯ]+")
 #: What stands for "no answer".
 NOTHING = frozenset("|a|r|q|na|n a|none|null|nil|nan|vide|empty|ras|neant|reponse|answer|tbd|todo|undefined|sans reponse|no answer|pas de reponse|aucune reponse|p p|br|div div|respuesta|antwort".split("|"))
 #: Function words that do not end an answer, and votes beside the common-word table.
@@ -44,51 +49,180 @@ ASKS_LANGUAGE = re.compile(
 QUOTED = re.compile(r"«[^»]*»|“[^”]*”|\"[^\"\n]*\"|„[^“”]*[“”]")
 MARKUP = re.compile(r"<[^<>]{0,80}>|&[a-z]+;")
 
-#: (speaker, refusing, what is refused) of each language; all three in this order within a sentence
-REFUSING = [
-    re.compile(p)
-    for p in (
-        r"\bje (?:ne |n')(?:peux|puis|saurais|suis|souhaite|veux)\b[^.!?]{0,40}?(?:\bpas\b|\bpoint\b)?[^.!?]{0,30}?\b(?:repondre|aider|traiter|donner suite|communiquer|fournir|commenter|aborder|en mesure|autorise|habilite|divulguer|partager|discuter|prononcer)",
-        r"\bil m'est (?:impossible|interdit|defendu)\b",
-        r"\bje (?:prefere|choisis de|dois|vais devoir|suis (?:contraint|oblige|tenu)e? de) (?:ne pas|decliner|refuser|m'abstenir|passer)",
-        r"\bje (?:decline|refuse|m'abstiens|me garde)\b",
-        r"\bje n'ai pas (?:le droit|l'autorisation|la permission|acces|la possibilite)\b",
-        r"\bnous ne (?:donnons|pouvons|sommes|souhaitons|repondons|traitons)\b[^.!?]{0,12}\bpas\b",
-        r"\baucune reponse ne (?:vous )?(?:sera|peut|pourra)\b",
-        r"\bcette (?:question|demande)\b[^.!?]{0,20}\b(?:depasse|sort|excede|ne releve pas|n'entre pas)\b",
-        r"\bma? (?:configuration|consignes?|regles?|parametrage)\b[^.!?]{0,20}\b(?:interdi\w*|empeche\w*|m'interdit|ne me permet)",
-        r"\b(?:mes|les) (?:consignes|regles|instructions|parametres)\b[^.!?]{0,20}\b(?:m'interdisent|m'empechent|ne me permettent)",
-        r"\bi (?:cannot|can not|can't|could not|am not able|am unable|'m unable|won't|will not|must not|may not|am not allowed|am not permitted|do not wish|don't wish)\b[^.!?]{0,25}\b(?:answer|help|assist|respond|discuss|comment|provide|share|disclose|talk|say|process|handle|allowed|permitted)?",
-        r"\bi'm (?:unable|not able|not allowed)\b",
-        r"\bi (?:have to|must|need to|would like to|would rather|prefer to|choose to|regret that i must)\s(?:decline|refuse|abstain|pass|not|refrain)",
-        r"\bi (?:decline|refuse|abstain|would rather not|prefer not)\b",
-        r"\bi (?:do not|don't) have (?:the right|permission|access|authori[sz]ation)\b",
-        r"\bwe (?:do not|don't|cannot|can't|are unable|are not able|will not)\b[^.!?]{0,20}\b(?:respond|answer|process|comment|handle|discuss|help|provide|share)",
-        r"\bthis\b[^.!?]{0,25}\b(?:is|goes|lies|falls)\b[^.!?]{0,10}\b(?:outside|beyond)\b",
-        r"\bmy (?:setup|configuration|instructions|rules|guidelines|settings)\b[^.!?]{0,15}\b(?:does not|do not|don't|doesn't|forbids?|prevents?|prohibits?)\b",
-        r"\bno answer (?:will|can) be\b",
-        r"\bno puedo\b[^.!?]{0,20}\b(?:responder|ayudar\w*|contestar|comentar|tratar|facilitar)|\bme es imposible\b|\bdebo (?:declinar|rechazar)\b|\bprefiero no\b|\bno estoy (?:autorizad\w|en condiciones)\b",
-        r"\bich kann\b[^.!?]{0,40}\bnicht\b[^.!?]{0,20}\b(?:beantworten|helfen|antworten)|\bes ist mir (?:nicht moglich|unmoglich)\b|\bich (?:muss|mochte)\b[^.!?]{0,20}\bablehnen\b|\bich darf\b[^.!?]{0,40}\bnicht\b",
-    )
-]
+#: What a refusal says, word by word: a|b are alternatives, a* any word that begins so, ?a may be left out,
+#: +k lets k words at most stand between.
+REFUSING = """
+je ne|n peux|puis|saurais|suis|souhaite|veux +12 repondre|aider|traiter|suite|communiquer|fournir|commenter|aborder|mesure|autorise*|habilite*|divulguer|partager|discuter|prononcer
+il m est impossible|interdit|defendu
+je prefere|dois decliner|refuser|passer
+je prefere|dois ne|m pas|abstenir
+je choisis|contraint*|oblig*|tenu* de decliner|refuser|passer
+je choisis de ne|m pas|abstenir
+je vais devoir decliner|refuser|passer|ne|m
+je suis contraint*|oblig*|tenu* de decliner|refuser|passer|ne|m
+je decline|refuse
+je m abstiens
+je me garde
+je n ai pas +1 droit|autorisation|permission|acces|possibilite
+nous ne donnons|pouvons|sommes|souhaitons|repondons|traitons +3 pas
+aucune reponse ne ?vous sera|peut|pourra
+cette question|demande +4 depasse|sort|excede
+cette question|demande +3 ne releve pas
+cette question|demande +3 n entre pas
+ma|mes|les configuration|consigne|consignes|regle|regles|parametrage|parametres|instructions +4 interdi*|empech*
+ma|mes|les configuration|consigne|consignes|regle|regles|parametrage|parametres|instructions +3 ne me permet|permettent
+i cannot
+i can|could|will|must|may not
+i can|won t
+i am|m unable
+i am|m not able|allowed|permitted
+i do not wish
+i don t wish
+i have|need to decline|refuse|abstain|pass|refrain|not
+i must decline|refuse|abstain|pass|refrain
+i would like|rather|prefer ?to decline|refuse|abstain|pass|refrain|not
+i prefer|choose ?to decline|refuse|abstain|pass|refrain|not
+i decline|refuse|abstain
+i do not have ?the right|permission|access|authorization|authorisation
+i don t have ?the right|permission|access|authorization|authorisation
+we cannot +4 respond|answer|process|comment|handle|discuss|help|provide|share
+we do|will not +4 respond|answer|process|comment|handle|discuss|help|provide|share
+we don|can t +4 respond|answer|process|comment|handle|discuss|help|provide|share
+we are unable +4 respond|answer|process|comment|handle|discuss|help|provide|share
+we are not able +4 respond|answer|process|comment|handle|discuss|help|provide|share
+this +5 is|goes|lies|falls +2 outside|beyond
+my setup|configuration|instructions|rules|guidelines|settings +3 does|do not
+my setup|configuration|instructions|rules|guidelines|settings +3 doesn|don t
+my setup|configuration|instructions|rules|guidelines|settings +3 forbid*|prevent*|prohibit*
+no answer will|can be
+no puedo +4 responder|ayudar*|contestar|comentar|tratar|facilitar
+me es imposible
+debo declinar|rechazar
+prefiero no
+no estoy autorizad*
+no estoy en condiciones
+ich kann +8 nicht +4 beantworten|helfen|antworten
+es ist mir unmoglich
+es ist mir nicht moglich
+ich muss|mochte +4 ablehnen
+ich darf +8 nicht
+"""
 
 
 def fold(s: str) -> str:
+    if s.isascii():
+        return s.lower()
     s = s.replace("’", "'").replace("œ", "oe").replace("Œ", "oe")
-    return s.lower() if s.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", s)).lower()
+    return MARKS.sub("", unicodedata.normalize("NFKD", s)).lower()
+
+
+class Automaton:
+    """A deterministic automaton over classes of words, from patterns as in REFUSING; its states are made when first reached.
+
+    A state is a set of (pattern, slot, words that may still stand before the slot's word). Words that play the
+    same part in all slots are one class. Reaching the end of a pattern accepts.
+    """
+
+    def __init__(self, patterns: str):
+        self.slots: list[list[tuple[frozenset[str], tuple[str, ...], int]]] = []
+        for line in patterns.strip().splitlines():
+            for variant in self._variants(line.split()):
+                gap, out = 0, []
+                for x in variant:
+                    if x[0] == "+":
+                        gap = int(x[1:])
+                        continue
+                    words = x.split("|")
+                    out.append((frozenset(w for w in words if w[-1] != "*"), tuple(w[:-1] for w in words if w[-1] == "*"), gap))
+                    gap = 0
+                self.slots.append(out)
+        self.states: list[frozenset] = []
+        self.number: dict[frozenset, int] = {}
+        self.classes: dict[str, int] = {}
+        self.kinds: dict[frozenset, int] = {}
+        self.parts: list[frozenset] = []
+        self.step: dict[tuple[int, int], int] = {}
+        self._state(frozenset())
+        self._class(frozenset())
+
+    @staticmethod
+    def _variants(items: list[str]):
+        at = next((k for k, x in enumerate(items) if x[0] == "?"), None)
+        if at is None:
+            yield items
+            return
+        yield from Automaton._variants([*items[:at], items[at][1:], *items[at + 1 :]])
+        yield from Automaton._variants([*items[:at], *items[at + 1 :]])
+
+    def _state(self, s: frozenset) -> int:
+        if s not in self.number:
+            self.number[s] = len(self.states)
+            self.states.append(s)
+        return self.number[s]
+
+    def _class(self, parts: frozenset) -> int:
+        if parts not in self.kinds:
+            self.kinds[parts] = len(self.parts)
+            self.parts.append(parts)
+        return self.kinds[parts]
+
+    def class_of(self, word: str) -> int:
+        if len(self.classes) > 500_000:
+            self.classes.clear()
+        plain = fold(word)
+        parts = frozenset((p, k) for p, slots in enumerate(self.slots) for k, (words, stems, _) in enumerate(slots) if plain in words or plain.startswith(stems))
+        self.classes[word] = got = self._class(parts)
+        return got
+
+    def _next(self, state: int, kind: int) -> int:
+        parts, new = self.parts[kind], set()
+        for p, k, left in [*self.states[state], *((p, 0, 0) for p in range(len(self.slots)))]:
+            if (p, k) in parts:
+                if k + 1 == len(self.slots[p]):
+                    self.step[state, kind] = -1
+                    return -1
+                new.add((p, k + 1, self.slots[p][k + 1][2]))
+            if left:
+                new.add((p, k, left - 1))
+        self.step[state, kind] = got = self._state(frozenset(new))
+        return got
+
+    def accepts(self, tokens: list[str]) -> bool:
+        """Whether a pattern occurs in the words between two sentence marks; tokens are in lower case, with their accents."""
+        classes, step, state = self.classes, self.step, 0
+        for w in tokens:
+            if w in SENTENCE_MARKS:
+                state = 0
+                continue
+            kind = classes.get(w)
+            if kind is None:
+                kind = self.class_of(w)
+            if state or kind:
+                after = step.get((state, kind))
+                state = self._next(state, kind) if after is None else after
+                if state < 0:
+                    return True
+        return False
 
 
 # -- empty and refusal -------------------------------------------------------
-def is_empty(answer: str | None) -> bool:
-    if answer is None:
-        return True
-    bare = MARKUP.sub(" ", answer)
-    return " ".join(WORD.findall(fold(bare))) in NOTHING
+def tokens_of(text: str) -> list[str]:
+    """Words in lower case and sentence marks."""
+    return TOKEN.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
 
 
-def is_refusal(answer: str) -> bool:
-    text = fold(QUOTED.sub(" ", answer))
-    return any(p.search(text) for p in REFUSING)
+def is_empty(answer: str, words: list[str]) -> bool:
+    if "<" in answer or "&" in answer:
+        words = words_of(tokens_of(MARKUP.sub(" ", answer)))
+    return len(words) < 5 and " ".join(map(fold, words)) in NOTHING
+
+
+def words_of(tokens: list[str]) -> list[str]:
+    return [w for w in tokens if w not in SENTENCE_MARKS]
+
+
+def unquoted(text: str) -> str:
+    return QUOTED.sub(" ", text) if any(map(text.__contains__, '«"“„')) else text
 
 
 # -- copies --------------------------------------------------------------------
@@ -139,13 +273,12 @@ class SuffixAutomaton:
         return out
 
 
-def copied_share(prompt: str, answer: str, least: int = 3) -> tuple[float, float]:
+def copied_share(q: list[str], a: list[str], least: int = 3) -> tuple[float, float]:
     """(share of the answer's words in runs of ``least`` or more words of the prompt, longest run / words of the prompt)."""
-    q, a = WORD.findall(fold(prompt)), WORD.findall(fold(answer))
     if not q or not a:
         return 0.0, 0.0
     known = set(q)
-    if sum(w not in known for w in a) > max(2, 0.2 * len(a)):  # too many words of its own to be covered
+    if len(a) - sum(map(known.__contains__, a)) > max(2, 0.2 * len(a)):  # too many words of its own to be covered
         return 0.0, 0.0
     runs = SuffixAutomaton(q).runs(a)
     covered, until = 0, len(a)
@@ -157,13 +290,15 @@ def copied_share(prompt: str, answer: str, least: int = 3) -> tuple[float, float
     return covered / len(a), max(runs) / len(q)
 
 
-def is_copy(prompt: str, answer: str) -> bool:
-    share, longest = copied_share(prompt, answer)
-    n = len(WORD.findall(answer))
-    return longest >= 0.6 and (1 - share) * n <= max(2, 0.2 * n)
+def is_copy(q: list[str], a: list[str]) -> bool:
+    share, longest = copied_share(q, a)
+    return longest >= 0.6 and (1 - share) * len(a) <= max(2, 0.2 * len(a))
 
 
 # -- language ----------------------------------------------------------------
+LANGUAGES = tuple(FUNCTION)
+
+
 class Votes:
     """Each function or common word has one vote, shared between the languages that have it."""
 
@@ -175,59 +310,63 @@ class Votes:
         plain: dict[str, set[str]] = {}
         for w, langs in of.items():
             plain.setdefault(fold(w), set()).update(langs)
-        self.of = plain | of
-
-    def count(self, text: str) -> dict[str, float]:
-        got = dict.fromkeys(FUNCTION, 0.0)
-        for w in WORD.findall(text.lower()):
-            if langs := self.of.get(w):
-                for x in langs & got.keys():
-                    got[x] += 1 / len(langs)
+        self.of = {w: tuple((LANGUAGES.index(x), 1 / len(langs)) for x in langs if x in FUNCTION) for w, langs in (plain | of).items()}
+
+    def count(self, words: list[str]) -> list[float]:
+        """Votes for each of LANGUAGES."""
+        got = [0.0] * len(LANGUAGES)
+        for shares in filter(None, map(self.of.get, words)):
+            for k, v in shares:
+                got[k] += v
         return got
 
-    def language(self, text: str, lead: float = 1.5, least: float = 1.5) -> str | None:
-        got = sorted(self.count(text).items(), key=lambda x: -x[1])
-        return got[0][0] if got[0][1] >= least and got[0][1] >= lead * got[1][1] else None
+    @staticmethod
+    def language(votes: list[float], lead: float = 1.5, least: float = 1.5) -> int | None:
+        first, second = sorted(votes, reverse=True)[:2]
+        return votes.index(first) if first >= least and first >= lead * second else None
 
-    def is_other(self, prompt: str, answer: str) -> bool:
-        if ASKS_LANGUAGE.search(fold(prompt)):
-            return False
-        a = self.language(QUOTED.sub(" ", answer))
+    def is_other(self, prompt: str, answer: list[str]) -> bool:
+        a = self.language(self.count(answer))
         if a is None:
             return False
-        q = self.count(QUOTED.sub(" ", prompt))
-        best = max(q, key=q.get)
-        return best != a and q[best] >= 1 and q[best] >= 1.3 * q[a]
+        q = self.count(tokens_of(unquoted(prompt)))
+        best = max(q)
+        if q.index(best) == a or best < 1 or best < 1.3 * q[a]:
+            return False
+        return not ASKS_LANGUAGE.search(fold(prompt))
 
 
 # -- truncation ------------------------------------------------------------------
 OPENING = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”"}
+DELIMITER = re.compile(r"[()\[\]{}«»“”]")
 ITEM = re.compile(r"\s*(?:[-–—•*·▪]|\d{1,3}[.)]|[a-z][.)])\s+")
+ELISION = re.compile(r"(?:^|\W)(?:qu|[a-z])['’]$")
+ENDED = re.compile(r"[^\W\d_]{3,}[.!?…][\"»”')\]]*\s+[^\W\d_a-z]")
 
 
 def open_delimiters(text: str) -> int:
     """Depth of the delimiter stack at the end (straight quotes count by parity); stray closing marks are skipped."""
     stack: list[str] = []
-    for line in text.split("\n"):
-        body = line[m.end() :] if (m := ITEM.match(line)) else line
-        for c in body:
-            if c in OPENING:
-                stack.append(OPENING[c])
-            elif c in stack:
-                while stack.pop() != c:
-                    pass
+    if DELIMITER.search(text):
+        for line in text.split("\n"):
+            for c in DELIMITER.findall(line[m.end() :] if (m := ITEM.match(line)) else line):
+                if c in OPENING:
+                    stack.append(OPENING[c])
+                elif c in stack:
+                    while stack.pop() != c:
+                        pass
     return len(stack) + text.count('"') % 2
 
 
-def is_truncated(answer: str, last_seen: int, functions: frozenset[str]) -> bool:
-    """``last_seen``: how often the last word is found in all answers and prompts."""
+def is_truncated(answer: str, q: list[str], functions) -> bool:
+    """``functions``: called where the function words of the pair's language are needed."""
     t = answer.rstrip()
     if open_delimiters(t):
         return True
     tail = t[-1]
-    if re.search(r"(?:^|\W)(?:qu|[a-z])['’]$", t.lower()):  # an elision
+    if tail in "'’" and ELISION.search(t.lower()):
         return True
-    if tail in ".!?»)]”\"’'":
+    if tail in ".!?»)]”\"'’":
         return t.endswith(("..", "…")) and len(WORD.findall(t)) > 3
     if tail in ",;:-–—/…(":
         return True
@@ -235,69 +374,79 @@ def is_truncated(answer: str, last_seen: int, functions: frozenset[str]) -> bool
     if not words:
         return False
     last = words[-1].lower()
-    if last in functions and not words[-1].isupper():
+    held = functions()
+    if last in held and not words[-1].isupper():
+        return True
+    plain = fold(last)
+    if len(plain) > 3 and plain not in q and any(w.startswith(plain) and len(w) > len(plain) + 2 for w in q):  # within a word of the prompt
         return True
     lines = [x for x in t.split("\n") if x.strip()]
     if len(lines) > 1 and ITEM.match(lines[-1]):
         other = [WORD.findall(x)[-1] for x in lines[:-1] if ITEM.match(x) and WORD.findall(x)]
-        named = bool(other) and all(not w[:1].islower() for w in other)
-        return last_seen <= 1 or (named and words[-1][:1].islower())
-    return len(words) > 9 or (len(words) > 5 and last_seen <= 1 and not any(c.isdigit() for c in last))
-
+        return bool(other) and all(not w[:1].islower() for w in other) and words[-1][:1].islower()
+    if ENDED.search(t):  # earlier sentences have their marks, the last has none
+        return True
+    return len(words) > 9 and sum(w.lower() in held for w in words) >= 2
 
-def defect_of(prompt: str | None, answer: str | None, last_seen: int, votes: Votes, functions: dict[str, frozenset[str]]) -> str | None:
-    if is_empty(answer):
-        return "empty"
-    if is_refusal(answer):
-        return "refusal"
-    if prompt and is_copy(prompt, answer):
-        return "copied_question"
-    if prompt and votes.is_other(prompt, answer):
-        return "other_language"
-    counts = votes.count(QUOTED.sub(" ", f"{prompt or ''} {answer}"))
-    return "truncated" if is_truncated(answer, last_seen, functions[max(counts, key=counts.get)]) else None
 
+class Judge:
+    """Gives each pair its defect; made once in a task."""
 
-def _word_counts(text: DataFrame) -> DataFrame:
-    """(w, n): words of prompts and answers, summed per batch."""
+    def __init__(self, common: list[tuple[str, str]]):
+        self.votes, self.refusing = Votes(common), Automaton(REFUSING)
+        self.functions = [frozenset(v.split()) for v in FUNCTION.values()]
+        self.plain: dict[str, str] = {}
+
+    def defect(self, prompt: str | None, answer: str | None) -> str | None:
+        if answer is None:
+            return "empty"
+        tokens = tokens_of(answer)
+        words = words_of(tokens)
+        if is_empty(answer, words):
+            return "empty"
+        bare = unquoted(answer)
+        spoken = tokens if bare is answer else tokens_of(bare)
+        if self.refusing.accepts(spoken):
+            return "refusal"
+        q: list[str] = []
+        if prompt:
+            q = self.folded(words_of(tokens_of(prompt)))
+            if is_copy(q, self.folded(words)):
+                return "copied_question"
+            if self.votes.is_other(prompt, spoken):
+                return "other_language"
+
+        def functions() -> frozenset[str]:
+            counts = self.votes.count(tokens_of(unquoted(prompt or "")) + spoken)
+            return self.functions[counts.index(max(counts))]
+
+        return "truncated" if is_truncated(answer, q, functions) else None
+
+    def folded(self, words: list[str]) -> list[str]:
+        """Words without accents; each distinct word is folded once (memory bound only)."""
+        if len(self.plain) > 500_000:
+            self.plain.clear()
+        for w in set(words).difference(self.plain):
+            self.plain[w] = fold(w)
+        return list(map(self.plain.__getitem__, words))
+
+
+def judged(pairs: DataFrame, common_words: list[tuple[str, str]], keys: list[str], prompt: str = "query", answer: str = "answer") -> DataFrame:
+    """(keys, defect) of every pair; null where there is none. ``common_words`` is the fixed (lang, word) table."""
+    ready = pairs.select(*keys, F.col(prompt).alias("_q"), F.col(answer).alias("_a"))
+    n = len(keys)
 
     def run(batches):
+        judge = Judge(common_words)
         for b in batches:
-            chunks: Counter[str] = Counter()
-            for j in range(2):
-                for t in b.column(j).to_pylist():
-                    if t:
-                        chunks.update(t.lower().split())
-            n: Counter[str] = Counter()
-            for c, k in chunks.items():
-                for w in WORD.findall(c):
-                    n[w] += k
-            yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["w", "n"])
+            got = [judge.defect(q, a) for q, a in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(n)), pa.array(got, pa.string())], names=[*keys, "defect"])
 
-    return text.select("_q", "_a").mapInArrow(run, "w string, n bigint")
+    schema = ", ".join(f"`{k}` {ready.schema[k].dataType.simpleString()}" for k in keys) + ", defect string"
+    return ready.mapInArrow(run, schema)
 
 
 def defects(pairs: DataFrame, common_words: list[tuple[str, str]], keys: list[str], prompt: str = "query", answer: str = "answer") -> DataFrame:
-    """(keys, defect) of every defective pair. ``common_words`` is the fixed (lang, word) table."""
-    text = pairs.select(*keys, F.col(prompt).alias("_q"), F.col(answer).alias("_a"))
-    # how often the last word of an answer without a final mark is found; few answers have one,
-    # so the rest take no part in the join
-    final = F.lower(F.regexp_extract(F.col("_a"), r"([\p{L}\p{N}]+)\s*$", 1))
-    text = text.withColumn("w", F.coalesce(final, F.lit("")))
-    open_ = text.where("w <> ''")
-    seen = _word_counts(text).join(open_.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.sum("n").alias("_seen"))
-    ready = open_.join(seen, "w", "left").select(*keys, "_q", "_a", F.coalesce("_seen", F.lit(0)).alias("_seen"))
-    ready = ready.unionByName(text.where("w = ''").select(*keys, "_q", "_a", F.lit(0).cast("bigint").alias("_seen")))
-    functions = {lang: frozenset(v.split()) for lang, v in FUNCTION.items()}
-    n = len(keys)
+    """(keys, defect) of every defective pair."""
+    return judged(pairs, common_words, keys, prompt, answer).where("defect IS NOT NULL")
 
-    def run(batches):
-        votes = Votes(common_words)
-        for b in batches:
-            got = [defect_of(q, a, s, votes, functions) for q, a, s in zip(*(b.column(n + j).to_pylist() for j in range(3)), strict=True)]
-            at = [k for k, d in enumerate(got) if d]
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(n)), pa.array([got[k] for k in at], pa.string())], names=[*keys, "defect"])
-
-    schema = ", ".join(f"`{k}` {ready.schema[k].dataType.simpleString()}" for k in keys) + ", defect string"
-    return ready.mapInArrow(run, schema)

@@ -10,16 +10,18 @@ from kerfline.session import latest_per_key, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kerfline.llm.pairs import defects
+    from kerfline.llm.pairs import judged
 
-    results = latest_per_key(table(spark, sf_dir, "crag_results").select("result_id", "query", "answer", "logged_at"), "result_id", "logged_at")
-    responses = table(spark, sf_dir, "generated_responses").select("response_id", "result_id", "answer").dropDuplicates(["response_id"])
-    pairs = results.select(F.lit("result").alias("rec_kind"), F.col("result_id").alias("rec_id"), "query", "answer").unionByName(
-        responses.join(results.select("result_id", "query"), "result_id", "left").select(F.lit("response").alias("rec_kind"), F.col("response_id").alias("rec_id"), "query", "answer")
-    )
     # common_words is a fixed table of a few hundred words
     common = [(r.lang, r.word) for r in table(spark, sf_dir, "common_words").collect()]
-    return defects(pairs, common, ["rec_kind", "rec_id"])
+    logged = table(spark, sf_dir, "crag_results").select("result_id", "query", "answer", "logged_at")
+    # every delivery is judged, then the latest verdict counts: no answer is shuffled to find it
+    results = latest_per_key(judged(logged, common, ["result_id", "logged_at"]), "result_id", "logged_at")
+    asked = latest_per_key(logged.select("result_id", "query", "logged_at"), "result_id", "logged_at").select("result_id", "query")
+    given = table(spark, sf_dir, "generated_responses").select("response_id", "result_id", "answer")
+    responses = judged(given.join(asked, "result_id", "left"), common, ["response_id"]).dropDuplicates(["response_id"])
+    both = results.select(F.lit("result").alias("rec_kind"), F.col("result_id").alias("rec_id"), "defect").unionByName(responses.select(F.lit("response").alias("rec_kind"), F.col("response_id").alias("rec_id"), "defect"))
+    return both.where("defect IS NOT NULL")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

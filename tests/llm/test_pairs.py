@@ -23,8 +23,7 @@ CASES = [
 
 @pytest.mark.parametrize(("prompt", "answer", "defect"), CASES)
 def test_defect(prompt, answer, defect):
-    functions = {k: frozenset(v.split()) for k, v in P.FUNCTION.items()}
-    assert P.defect_of(prompt, answer, 5, P.Votes(COMMON), functions) == defect
+    assert P.Judge(COMMON).defect(prompt, answer) == defect
 
 
 def test_suffix_automaton_equals_brute_force():
@@ -57,4 +56,50 @@ def test_table(spark):
 
 @pytest.mark.parametrize("answer", ["Prefiero no responder.", "No answer will be given.", "I don't have the right to answer.", "We don't answer such requests.", "Mes consignes ne me permettent pas de répondre.", "Je choisis de ne pas répondre."])
 def test_every_refusal_pattern_is_reached(answer):
-    assert P.is_refusal(answer)
+    assert P.Judge(COMMON).defect(Q, answer) == "refusal"
+
+
+@pytest.mark.parametrize("answer", ["Le RSSI ne peut pas répondre seul à la demande.", "Je n'ai rien. Le portail ne permet pas de répondre.", "Il ne faut pas refuser l'aide. Nous avons répondu.", "This is the rule for the outside wall."])
+def test_no_refusal(answer):
+    assert not P.Automaton(P.REFUSING).accepts(P.tokens_of(answer))
+
+
+def test_automaton_equals_search_of_patterns():
+    """Against a plain search that tries every pattern at every word."""
+
+    def at(slots, words, i, gap):
+        if not slots:
+            return True
+        x = slots[0]
+        if x[0] == "+":
+            return at(slots[1:], words, i, int(x[1:]))
+        if x[0] == "?" and at(slots[1:], words, i, gap):
+            return True
+        alternatives = x.lstrip("?").split("|")
+        return any(k < len(words) and any(words[k] == a or (a[-1] == "*" and words[k].startswith(a[:-1])) for a in alternatives) and at(slots[1:], words, k + 1, 0) for k in range(i, i + gap + 1))
+
+    r = random.Random(4)
+    lines = [x.split() for x in P.REFUSING.strip().splitlines()]
+    pool = sorted({a.strip("?*") for x in lines for s in x if s[0] != "+" for a in s.split("|")})
+    dfa = P.Automaton(P.REFUSING)
+    hits = 0
+    for _ in range(1500):
+        words = [r.choice(pool) for _ in range(r.randrange(2, 6))]
+        line = r.choice(lines)
+        for s in line:  # a pattern with words between, at times broken
+            if s[0] == "+":
+                words += [r.choice(pool) for _ in range(r.randrange(int(s[1:]) + 2))]
+            elif r.random() < 0.93:
+                words.append(r.choice(s.lstrip("?").split("|")).rstrip("*"))
+        want = any(at(x, words, i, 0) for x in lines for i in range(len(words)))
+        hits += want
+        assert dfa.accepts(words) == want
+    assert 200 < hits < 1500
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    one = [("result", k, q, a) for k, (q, a, _) in enumerate(CASES)] + [("result", 800, Q, "Le RSSI valide chaque mois les sauvegar")]
+    many = one + [(kind, k + 1000 * j, q, a) for j in range(1, 4) for kind, k, q, a in one]
+    schema = "rec_kind string, rec_id bigint, query string, answer string"
+    few, more = ({tuple(r) for r in P.defects(spark.createDataFrame(x, schema), COMMON, ["rec_kind", "rec_id"]).where("rec_id < 1000").collect()} for x in (one, many))
+    assert few == more
