@@ -1,11 +1,14 @@
 """Mixing sources to target weights, sizes in tokens of a public tokenizer.
 
 Source weights come from temperature mixing: natural token shares q are tilted towards
-the targets t by the exponent a, w(a) = q * (t / q) ** a, normalised. a = 1 gives the
-targets, a = 0 the natural shares. The largest a in [0, 1] is found by bisection at
-which no source needs more than ``max_repeats`` uses of a record at the budget, or,
-with ``target_entropy``, at which the entropy of the weights meets it. Without a budget
-it is the greatest at which the targets hold exactly (a = 1).
+the targets t by an exponent, w = q * (t / q) ** a, normalised. a = 1 gives the target, a = 0
+the natural share. The mixture has a stated budget, by default the tokens of all sources
+that have a target (one corpus). A source that would need more than ``max_repeats`` uses of
+a record at that budget is tempered: its exponent is bisected to the greatest value at
+which its repetition limit holds, and the share it gives up goes to the others in
+proportion to their targets. So one tiny source bounds its own share, not the mixture,
+and all others keep their targets in proportion. With ``target_entropy`` one exponent for
+all sources is bisected until the entropy of the weights meets it.
 
 The weights are realised per source as whole passes over all records and one pass that
 is cut: records lie in blocks by a seeded hash, blocks are permuted by a seeded hash,
@@ -46,7 +49,7 @@ def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def weights_at(a: float, natural: dict[str, float], target: dict[str, float]) -> dict[str, float]:
-    raw = {s: natural[s] * (target[s] / natural[s]) ** a for s in target}
+    raw = {s: tilted(a, natural[s], target[s]) for s in target}
     total = sum(raw.values())
     return {s: v / total for s, v in raw.items()}
 
@@ -55,36 +58,57 @@ def entropy(w: dict[str, float]) -> float:
     return -sum(v * math.log(v) for v in w.values() if v > 0)
 
 
-def solve_weights(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None, target_entropy: float | None = None) -> tuple[dict[str, float], float, float]:
-    """(weights, budget in tokens, exponent). ``tokens`` and ``targets`` have one entry per target source (a fixed, small table)."""
+def bisect(ok, low: float, high: float) -> float:
+    """The greatest value in [low, high] at which ``ok`` holds, which it does below it."""
+    if ok(high):
+        return high
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if ok(mid) else (low, mid)
+    return low
+
+
+#: The lowest exponent tried; there a source of half its target share has 1 / 2**20 of it.
+COLDEST = -20.0
+
+
+def solve_weights(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None, target_entropy: float | None = None) -> tuple[dict[str, float], float, dict[str, float]]:
+    """(weights, budget in tokens, exponents) by source. ``tokens`` and ``targets`` have one entry per target source (a fixed, small table).
+
+    The budget is lowered where the limits can't hold at it with any exponents.
+    """
     live = {s: t for s, (t, r) in targets.items() if t > 0 and r > 0 and tokens.get(s, 0) > 0}
     if not live:
-        return {}, 0.0, 1.0
+        return {}, 0.0, {}
     whole, mass = sum(tokens[s] for s in live), sum(live.values())
     target = {s: t / mass for s, t in live.items()}
     natural = {s: tokens[s] / whole for s in live}
     room = {s: tokens[s] * targets[s][1] for s in live}
-
-    def bisect(ok) -> float:
-        if ok(1.0):
-            return 1.0
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if ok(mid) else (low, mid)
-        return low
-
+    total = float(whole if budget is None else budget)
     if target_entropy is not None:
         rising = entropy(target) >= entropy(natural)
-        a = bisect(lambda x: (entropy(weights_at(x, natural, target)) <= target_entropy) == rising)
+        a = bisect(lambda x: (entropy(weights_at(x, natural, target)) <= target_entropy) == rising, 0.0, 1.0)
+        power = dict.fromkeys(live, a)
         w = weights_at(a, natural, target)
-        most = min(room[s] / w[s] for s in live)
-        return w, min(budget or most, most), a
-    if budget is None:
-        return target, min(room[s] / target[s] for s in live), 1.0
-    a = bisect(lambda x: all(v * budget <= room[s] * (1 + 1e-12) for s, v in weights_at(x, natural, target).items()))
-    w = weights_at(a, natural, target)
-    return w, min(budget, min(room[s] / w[s] for s in live)), a
+    else:
+        total = min(total, float(sum(room.values())))
+        power = dict.fromkeys(live, 1.0)
+        w = dict(target)
+        for _ in range(20 * len(live)):
+            over = [s for s in live if w[s] * total > room[s] * (1 + 1e-9) and power[s] > COLDEST]
+            if not over:
+                break
+            for s in over:
+                rest = sum(tilted(power[x], natural[x], target[x]) for x in live if x != s)
+                fits = lambda x, s=s, rest=rest: tilted(x, natural[s], target[s]) * total <= room[s] * (tilted(x, natural[s], target[s]) + rest)
+                power[s] = bisect(fits, COLDEST, power[s])
+            raw = {s: tilted(power[s], natural[s], target[s]) for s in live}
+            w = {s: v / sum(raw.values()) for s, v in raw.items()}
+    return w, min(total, min(room[s] / w[s] for s in live if w[s] > 0)), power
+
+
+def tilted(a: float, natural: float, target: float) -> float:
+    return natural * (target / natural) ** a
 
 
 def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", budget: float | None = None, target_entropy: float | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
@@ -96,15 +120,15 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", budget: float
     want = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").collect() if r.source is not None}
     by = sized.join(F.broadcast(spark.createDataFrame([(s,) for s in want], "source string")), "source")
     got = {r.source: r.n for r in by.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    w, total, exponent = solve_weights(got, want, budget, target_entropy)
+    w, total, power = solve_weights(got, want, budget, target_entropy)
     plan = []
     for s, (share, most) in want.items():
         quota = w.get(s, 0.0) * total
         full = min(int(quota // got[s] + 1e-9), most) if got.get(s) else 0
         rest = quota - full * got[s] if got.get(s) and full < most else 0.0
-        plan.append((s, share, most, w.get(s, 0.0), quota, full, max(rest, 0.0)))
+        plan.append((s, share, most, w.get(s, 0.0), quota, full, max(rest, 0.0), power.get(s)))
     # as many rows as the target table has
-    quotas = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, weight double, quota double, full_passes int, rest double")
+    quotas = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, weight double, quota double, full_passes int, rest double, exponent double")
     used = sized.where("n_tokens > 0").join(F.broadcast(quotas), "source").withColumn("_block", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(BLOCKS)))
     blocks = used.groupBy("source", "_block").agg(F.sum("n_tokens").alias("_block_tokens"), F.first("rest").alias("rest"))
     # at most BLOCKS rows per source
@@ -124,11 +148,11 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", budget: float
         F.count(F.lit(1)).alias("records_used"), F.sum("copies").alias("uses"), F.max("copies").alias("most_uses"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens")
     )
     there = sized.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("n_tokens") == 0).alias("records_without_tokens"), F.sum("n_tokens").alias("source_tokens"))
-    report = quotas.join(used_up, "source", "left").join(there, "source", "left").fillna(0)
+    report = quotas.join(used_up, "source", "left").join(there, "source", "left").fillna(0, ["records_used", "uses", "most_uses", "tokens", "records", "records_without_tokens", "source_tokens"])
     report = report.withColumn("actual_share", F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(1)))))
     report = report.select(
         "source", "target_share", F.col("weight").alias("share_aimed_at"), F.coalesce("actual_share", F.lit(0.0)).alias("actual_share"), "max_repeats", "most_uses", "records", "records_without_tokens",
-        "records_used", "uses", "source_tokens", "tokens", F.lit(float(exponent)).alias("exponent"), F.lit(float(total)).alias("budget_tokens"),
+        "records_used", "uses", "source_tokens", "tokens", "exponent", F.lit(entropy(w)).alias("entropy"), F.lit(float(total)).alias("budget_tokens"),
     )
     return mixture, report
 
