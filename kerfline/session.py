@@ -11,20 +11,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder
-    of our own is set only where none is named on one machine (``local[*]``), it is
-    an error that none is named on a cluster.
+    It is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is set
+    only where none is named on one machine (``local[*]``), it is an error that none is
+    named on a cluster.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
