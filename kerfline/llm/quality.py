@@ -2,9 +2,10 @@
 
 Statistics are measured on whole texts in Arrow batches (the native form, regular
 expressions and lambdas over arrays of lines and words, took ten times the CPU). The rule list was
-learned by incremental reduced-error pruning (:func:`fit_rules`) on labelled
-documents; its thresholds are exported to one SQL CASE expression
-(:func:`rules_to_sql`) which Spark evaluates natively.
+induced in the same run by incremental reduced-error pruning (:func:`fit_rules`) on
+documents that labelling functions describe beyond doubt (:data:`LABELLING`, a hash sample
+of MAX_LABELLED documents); its thresholds are exported to one SQL CASE expression
+(:func:`rules_to_sql`) which Spark evaluates natively on all documents.
 
 Defined results: a null, empty or blank text has zero counts, null shares and the kind
 null (no case); a text of any length is measured whole; repeated rows are measured
@@ -130,6 +131,10 @@ def text_statistics(df: DataFrame, common_words: list[str], key: str = "doc_id",
 
 
 # -- learning the rules ---------------------------------------------------
+#: Documents in the sample that teaches the rules: a bound on the fit alone.
+MAX_LABELLED = 20_000
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
@@ -189,14 +194,14 @@ def _prune(tests: list, x: np.ndarray, y: np.ndarray, names: list[str]) -> list:
     return best
 
 
-def fit_rules(rows: DataFrame, label: str = "label", order: tuple[str, ...] = ("junk", "table", "list"), max_rows: int = 20_000, seed: int = 7) -> list[Rule]:
+def fit_rules(rows: DataFrame, label: str = "label", order: tuple[str, ...] = ("junk", "table", "list"), seed: int = 7) -> list[Rule]:
     """Ordered rules from labelled statistics by incremental reduced-error pruning.
 
-    ``rows`` holds the FEATURES and ``label`` (the default kind is ``prose``); at most
-    ``max_rows`` labelled rows are used, a documented bound on the fit alone.
+    ``rows`` holds the FEATURES and ``label`` (the default kind is ``prose``). The rows are
+    collected for the fit: see :func:`labelled` for their bound.
     """
     names = list(FEATURES)
-    got = rows.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names], label).limit(max_rows).toPandas()
+    got = rows.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names], label).toPandas().sort_values([*names, label])
     x, y = got[names].to_numpy(float), got[label].to_numpy()
     rng, rules = np.random.default_rng(seed), []
     for kind in order:
@@ -220,23 +225,48 @@ def rules_to_sql(rules: list[Rule] | tuple[Rule, ...], default: str = "prose") -
     return f"CASE WHEN coalesce(n_lines, 0) = 0 THEN NULL {cases} ELSE '{default}' END"
 
 
-#: Learned by fit_rules on 10,000 labelled documents, thresholds rounded; rules that
-#: rested on few rows were reviewed by hand (hexadecimal dumps; garbled letters; shuffled words; the least number of
-#: lines of lists and tables).
-LEARNED_RULES: tuple[Rule, ...] = (
-    Rule("junk", (("common_share", "<=", 0.1988), ("mean_line_len", ">", 134.6))),
-    Rule("junk", (("unbroken_share", ">", 0.5028), ("cell_share", "<=", 0.5))),
-    Rule("junk", (("letter_share", "<=", 0.4077), ("cell_share", "<=", 0.437))),
-    Rule("junk", (("digit_share", ">", 0.45), ("single_share", "<=", 0.03), ("mean_word_len", "<=", 2.3))),
-    Rule("junk", (("letter_share", "<=", 0.05),)),
-    Rule("junk", (("single_share", ">", 0.33), ("list_share", "<=", 0.3), ("cell_share", "<=", 0.3))),
-    Rule("junk", (("symbol_share", ">", 0.14), ("common_share", "<=", 0.3), ("list_share", "<=", 0.3), ("cell_share", "<=", 0.3))),
-    Rule("junk", (("misplaced_share", ">", 0.032), ("n_words", ">", 12), ("list_share", "<=", 0.5), ("cell_share", "<=", 0.3))),
-    Rule("table", (("cell_share", ">", 0.5108), ("n_lines", ">", 1))),
-    Rule("list", (("marked_share", ">", 0.4736),)),
-    Rule("list", (("list_share", ">", 0.5809), ("lower_start_share", "<=", 0.2), ("n_lines", ">", 2))),
+# -- labels ------------------------------------------------------------------
+#: Labelling functions: tests on the statistics that are clear enough to label a document, in order.
+#: Documents that none of them describes, or only nearly, have no label and teach nothing.
+LABELLING = (
+    ("junk", "letter_share < 0.3 AND cell_share < 0.3 AND marked_share < 0.3"),
+    ("junk", "letter_share < 0.1 AND symbol_share > 0.4"),
+    ("junk", "unbroken_share > 0.6 AND cell_share < 0.3"),
+    ("junk", "digit_share > 0.45 AND mean_word_len < 2.3 AND single_share < 0.03"),
+    ("junk", "n_words > 10 AND letter_share > 0.4 AND vowel_share < 0.28 AND common_share < 0.1"),
+    ("junk", "n_words > 20 AND common_share < 0.1 AND list_share < 0.2 AND cell_share < 0.2"),
+    ("junk", "n_words > 20 AND single_share > 0.4 AND list_share < 0.2 AND cell_share < 0.2"),
+    ("junk", "n_words > 20 AND symbol_share > 0.2 AND common_share < 0.2 AND list_share < 0.2 AND cell_share < 0.2"),
+    ("junk", "n_words > 20 AND misplaced_share > 0.05 AND list_share < 0.3 AND cell_share < 0.2"),
+    ("junk", "n_words > 30 AND distinct_share < 0.1 AND common_share < 0.2 AND list_share < 0.2 AND cell_share < 0.2"),
+    ("prose", "n_lines = 1 AND marked_share < 0.5 AND common_share > 0.25 AND misplaced_share < 0.025 AND n_words > 10"),
+    ("prose", "lower_start_share > 0.25 AND marked_share < 0.3 AND cell_share < 0.3 AND common_share > 0.25 AND misplaced_share < 0.025"),
+    ("table", "cell_share > 0.6 AND n_lines > 1"),
+    ("list", "marked_share > 0.6 AND n_lines > 1"),
+    ("list", "list_share > 0.7 AND lower_start_share < 0.1 AND n_lines > 2"),
+    ("prose", "list_share < 0.4 AND cell_share < 0.4 AND common_share > 0.22 AND misplaced_share < 0.025 AND letter_share > 0.6"),
 )
 
 
-def classify(stats: DataFrame, rules=None) -> DataFrame:
-    return stats.withColumn("kind", F.expr(rules_to_sql(LEARNED_RULES if rules is None else rules)))
+def label_sql() -> str:
+    cases = " ".join(f"WHEN {re.sub(r'[a-z_]+_share|mean_word_len', lambda m: f'coalesce({m[0]}, 0)', test)} THEN '{kind}'" for kind, test in LABELLING)
+    return f"CASE WHEN coalesce(n_lines, 0) = 0 THEN NULL {cases} END"
+
+
+def labelled(df: DataFrame, common_words: list[str], key: str = "doc_id", text: str = "text", max_rows: int = MAX_LABELLED) -> DataFrame:
+    """(FEATURES, label) of a hash sample of about ``max_rows`` documents, without those that the labelling functions leave open."""
+    part = min(1.0, max_rows / max(df.count(), 1))
+    chosen = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    stats = text_statistics(chosen, common_words, key, text).withColumn("label", F.expr(label_sql()))
+    return stats.where("label IS NOT NULL")
+
+
+def classify(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``stats`` and ``kind``, by the CASE expression of the rules."""
+    return stats.withColumn("kind", F.expr(rules_to_sql(rules)))
+
+
+def kinds(df: DataFrame, common_words: list[str], key: str = "doc_id", text: str = "text", max_rows: int = MAX_LABELLED) -> DataFrame:
+    """Statistics and kind of every document: label a sample, induce the rules, export them, apply them to all."""
+    rules = fit_rules(labelled(df, common_words, key, text, max_rows))
+    return classify(text_statistics(df, common_words, key, text), rules)

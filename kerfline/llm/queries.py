@@ -55,11 +55,11 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kerfline.llm.quality import classify, text_statistics
+    from kerfline.llm.quality import kinds
 
     # common_words is a fixed table of a few hundred words
     words = [r.word for r in table(spark, sf_dir, "common_words").select("word").collect()]
-    return classify(text_statistics(table(spark, sf_dir, "documents"), words))
+    return kinds(table(spark, sf_dir, "documents"), words)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

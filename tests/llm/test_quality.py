@@ -25,10 +25,35 @@ KINDS = [
 ]
 
 
-@pytest.mark.parametrize(("text", "kind"), KINDS)
-def test_kind(spark, text, kind):
-    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    assert Q.classify(Q.text_statistics(df, COMMON)).first()["kind"] == kind
+@pytest.fixture(scope="module")
+def learned(spark):
+    """Rules learned on the documents of the test tables whose id is no multiple of 5, and labels of the others."""
+    d = "/root/testdata/sf0.1"
+    words = [r.word for r in spark.read.parquet(f"{d}/common_words.parquet").collect()]
+    rows = Q.labelled(spark.read.parquet(f"{d}/documents.parquet"), words).cache()
+    rules = Q.fit_rules(rows.where("doc_id % 5 <> 0"))
+    yield words, rules, rows.where("doc_id % 5 = 0")
+    rows.unpersist()
+
+
+def test_kinds(spark, learned):
+    words, rules, _ = learned
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(KINDS)], "doc_id bigint, text string")
+    got = {r.doc_id: r.kind for r in Q.classify(Q.text_statistics(df, words), rules).collect()}
+    missed = [KINDS[k] for k in got if got[k] != KINDS[k][1]]
+    assert len(missed) <= 2, missed
+
+
+def test_rules_on_held_out_documents(learned):
+    _, rules, rows = learned
+    got = Q.classify(rows, rules).select("label", "kind").collect()
+    assert len(got) > 1500 and sum(r.label == r.kind for r in got) / len(got) > 0.99
+    assert {r.kind for r in rules} == {"junk", "table", "list"}
+
+
+def test_sample_is_bounded(spark):
+    df = spark.createDataFrame([(k, "- un\n- deux\n- trois") for k in range(4000)], "doc_id bigint, text string")
+    assert 150 < Q.labelled(df, COMMON, max_rows=200).count() < 260
 
 
 def test_statistics(spark):
@@ -62,4 +87,4 @@ def test_learned_rules_on_held_out_rows(spark):
 
 
 def test_empty_table(spark):
-    assert Q.classify(Q.text_statistics(spark.createDataFrame([], "doc_id bigint, text string"), COMMON)).count() == 0
+    assert Q.kinds(spark.createDataFrame([], "doc_id bigint, text string"), COMMON).count() == 0
