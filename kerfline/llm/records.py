@@ -61,7 +61,32 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oversized(spark, sf_dir, False).where("piece_no = 0").select("item_kind", "item_id", "section_no")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found}
+def p3_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's length put together again from its pieces, which must leave no gap, and whether all keep the limit."""
+    from kerfline.llm.splitting import own_lengths
+
+    keys = ["item_kind", "item_id", "section_no"]
+    limits = F.broadcast(table(spark, sf_dir, "size_limits").select("item_kind", "max_chars"))  # one row per kind
+    got = own_lengths(_oversized(spark, sf_dir, False), keys).join(limits, "item_kind")
+    return got.select(*keys, "n_chars", (F.col("longest") <= F.col("max_chars")).alias("within_limit"))
+
+
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of parsed_docs written as text files, and these cut by byte ranges: totals over all files."""
+    import uuid
+
+    from kerfline.llm.splitting import split_files
+    from kerfline.session import shared_folder
+
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "parsed_docs").where("content IS NOT NULL").select("content").write.text(folder)
+    limit, overlap = 4000, 200
+    got = split_files(spark, folder, limit, overlap, 1 << 20)
+    own = F.col("n_chars") - F.when(F.col("piece_no") > 0, overlap).otherwise(0)
+    return got.agg(F.sum(own).cast("bigint").alias("n_chars"), F.count_if(F.col("n_chars") > limit).alias("over_limit"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_lengths": p3_lengths, "p3_files": p3_files, "p4_found": p4_found}
 _PAIRS = r"""SELECT '{kind}' AS item_kind, id_a, id_b FROM (
   SELECT a.id AS id_a, b.id AS id_b, count(*) AS common, any_value(a.n) AS n, any_value(b.n) AS m FROM {kind}_sets a JOIN {kind}_sets b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
 WHERE common / (n + m - common) >= 0.6 - 1e-12"""
@@ -78,6 +103,14 @@ SQL: dict[str, str] = {
     + _PAIRS.format(kind="strip")
     + " UNION ALL "
     + _PAIRS.format(kind="document"),
+    "p3_files": "SELECT CAST(sum(length(content) + 1) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS over_limit FROM parsed_docs WHERE content IS NOT NULL",
+    "p3_lengths": """
+SELECT item_kind, item_id, section_no, CAST(n AS BIGINT) AS n_chars, true AS within_limit FROM (
+  SELECT DISTINCT 'document' AS item_kind, doc_id AS item_id, CAST(-1 AS INTEGER) AS section_no, length(content) AS n FROM parsed_docs
+  UNION ALL SELECT DISTINCT 'strip', strip_id, -1, length(content) FROM knowledge_strips
+  UNION ALL SELECT DISTINCT 'section', doc_id, CAST(i - 1 AS INTEGER), length(s.content) FROM (SELECT doc_id, unnest(sections) AS s, generate_subscripts(sections, 1) AS i FROM parsed_docs))
+JOIN size_limits USING (item_kind) WHERE n > max_chars
+""",
     "p3_found": """
 SELECT DISTINCT 'document' AS item_kind, doc_id AS item_id, CAST(-1 AS INTEGER) AS section_no FROM parsed_docs
 WHERE length(content) > (SELECT max_chars FROM size_limits WHERE item_kind = 'document')

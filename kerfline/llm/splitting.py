@@ -1,10 +1,10 @@
 """Splitting oversized items at natural boundaries, by ranges.
 
-An item is never handled whole. It is laid out in ranges of RANGE code points (bytes for
-files); a worker gets its range with a halo on both sides, finds the natural boundary at
-which its range really begins and the one at which the next begins (both from text it
-holds, so neighbours agree), and cuts what lies between. The boundary tables of the
-ranges are stitched by a prefix sum over the pieces per range, which numbers the pieces,
+No item is cut whole. It is laid out in ranges of RANGE code points (bytes for files), and
+the ranges are dealt to all tasks; a worker gets its range with a halo on both sides, finds the
+natural boundary at which its range really begins and the one at which the next begins (both
+from text it holds, so neighbours agree), and cuts what lies between. The boundary tables of
+the ranges are stitched by a prefix sum over the pieces per range, which numbers the pieces,
 and over the lengths, which turns bytes into code points for files.
 
 A cut is made at the best kind of boundary in the second half of the room that is left,
@@ -97,43 +97,90 @@ def cuts(text: str, begin: int, end: int, limit: int, overlap: int, first: bool)
         at, first = stop, False
 
 
+PIECE = "start bigint, n_chars int, piece string"
+
+
+def _range_pieces(x: str, n: int, limit: int, over: int, k: int, frm: int, span: int) -> list[tuple[int, int]]:
+    """(start, end) within ``x`` of the pieces that belong to range ``k`` of an item of ``n`` code points; x begins at ``frm``."""
+    begin = 0 if k == 0 else range_start(x, k * span - frm, limit)
+    end = len(x) if (k + 1) * span >= n else range_start(x, (k + 1) * span - frm, limit)
+    return list(cuts(x, begin, end, limit, over, k == 0))
+
+
 def piece_table(items: DataFrame, keys: list[str], text: str, limit: str, overlap: str, with_text: bool = True, span: int = RANGE) -> DataFrame:
-    """(keys, piece_no, start, n_chars[, piece]) of every item longer than its limit; start counts code points from 0."""
+    """(keys, piece_no, start, n_chars[, piece]) of every item longer than its limit; start counts code points from 0.
+
+    Items of one range are cut where they lie. Longer ones are sliced into ranges in one pass and
+    dealt to all tasks by (keys, range); the pieces of each range are counted, the prefix sum over
+    that small table gives the number of a range's first piece, and the text is emitted last.
+    """
     i = items.where(F.col(limit) > 0).where(F.length(F.col(text)) > F.col(limit))
     i = i.select(*keys, F.col(text).alias("_x"), F.length(F.col(text)).alias("_n"), F.col(limit).cast("int").alias("_limit"), F.least(F.coalesce(F.col(overlap), F.lit(0)), F.floor(F.col(limit) / 2)).cast("int").alias("_over"))
-    i = i.withColumn("_range", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / span).cast("int"))))
-    i = i.withColumn("_from", F.greatest(F.lit(0), F.col("_range") * span - F.col("_over") - 64))
-    i = i.withColumn("_x", F.expr(f"substring(_x, _from + 1, (_range + 1) * {span} + _limit + 64 - _from)"))
-    schema = ", ".join(f"`{k}` {i.schema[k].dataType.simpleString()}" for k in keys)
-    nk = len(keys)
+    nk, kinds = len(keys), ", ".join(f"`{k}` {i.schema[k].dataType.simpleString()}" for k in keys)
+    fields = ["_x", "_n", "_limit", "_over", "_range", "_from"]
 
-    def run(batches):
+    def lay_out(batches):
+        """Slices items into ranges with their halos, each in time linear in its text."""
         for b in batches:
-            x, n, lim, over, rng, frm = (b.column(nk + j).to_pylist() for j in range(6))
-            row, local, start, size, piece = [], [], [], [], []
-            for r in range(b.num_rows):
-                t, base, k = x[r], frm[r], rng[r]
-                begin = 0 if k == 0 else range_start(t, k * span - base, lim[r])
-                last = (k + 1) * span >= n[r]
-                end = len(t) if last else range_start(t, (k + 1) * span - base, lim[r])
-                for j, (s, e) in enumerate(cuts(t, begin, end, lim[r], over[r], k == 0)):
+            for r, (x, n, lim, over) in enumerate(zip(*(b.column(nk + j).to_pylist() for j in range(4)), strict=True)):
+                for first in range(0, n, 64 * span):
+                    ks = range(first // span, min(first // span + 64, -(-n // span)))
+                    froms = [max(0, k * span - over - 64) for k in ks]
+                    parts = [x[f : (k + 1) * span + lim + 64] for k, f in zip(ks, froms, strict=True)]
+                    m = len(parts)
+                    at = pa.array([r] * m, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [*(b.column(j).take(at) for j in range(nk)), pa.array(parts), *(pa.array([v] * m, pa.int32()) for v in (n, lim, over)), pa.array(list(ks), pa.int32()), pa.array(froms, pa.int32())],
+                        names=[*keys, *fields],
+                    )
+
+    def pieces(batches):
+        """The pieces of a range, numbered from ``_first`` on."""
+        for b in batches:
+            row, number, start, size, piece = [], [], [], [], []
+            for r, (x, n, lim, over, k, frm, first) in enumerate(zip(*(b.column(nk + j).to_pylist() for j in range(7)), strict=True)):
+                for j, (s, e) in enumerate(_range_pieces(x, n, lim, over, k, frm, span)):
                     row.append(r)
-                    local.append(j)
-                    start.append(base + s)
+                    number.append(first + j)
+                    start.append(frm + s)
                     size.append(e - s)
-                    piece.append(t[s:e] if with_text else None)
+                    piece.append(x[s:e] if with_text else None)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(j).take(at) for j in range(nk)), b.column(nk + 4).take(at), pa.array(local, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(piece, pa.string())],
-                names=[*keys, "_range", "_local", "start", "n_chars", "piece"],
+                [*(b.column(j).take(at) for j in range(nk)), pa.array(number, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(piece, pa.string())],
+                names=[*keys, "piece_no", "start", "n_chars", "piece"],
             )
 
-    got = i.select(*keys, "_x", "_n", "_limit", "_over", "_range", "_from").mapInArrow(run, schema + ", _range int, _local int, start bigint, n_chars int, piece string")
-    got = got.dropDuplicates([*keys, "_range", "_local"])
-    # pieces of earlier ranges of the item; the rows of a window are an item's pieces
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_range", "_local")) - 1
-    out = got.withColumn("piece_no", number)
-    return out.select(*keys, "piece_no", "start", "n_chars", *(["piece"] if with_text else []))
+    def counts(batches):
+        for b in batches:
+            got = [len(_range_pieces(*v, span)) for v in zip(*(b.column(nk + j).to_pylist() for j in range(6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(nk)), b.column(nk + 4), pa.array(got, pa.int64())], names=[*keys, "_range", "_pieces"])
+
+    zero = F.lit(0)
+    small = i.where(F.col("_n") <= span)
+    if with_text:  # repeated rows go before the text is cut
+        small = small.dropDuplicates(keys)
+    small = small.select(*keys, "_x", "_n", "_limit", "_over", zero.alias("_range"), zero.alias("_from"), zero.cast("bigint").alias("_first"))
+    of_small = small.mapInArrow(pieces, f"{kinds}, piece_no bigint, {PIECE}")
+    if not with_text:
+        of_small = of_small.dropDuplicates([*keys, "piece_no"])
+
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = i.where(F.col("_n") > span).mapInArrow(lay_out, f"{kinds}, _x string, _n int, _limit int, _over int, _range int, _from int")
+    ranges = ranges.repartition(tasks, *keys, "_range").dropDuplicates([*keys, "_range"])
+    # one small row per range of a long item
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.mapInArrow(counts, f"{kinds}, _range int, _pieces bigint").withColumn("_first", F.coalesce(F.sum("_pieces").over(before), zero.cast("bigint"))).drop("_pieces")
+    of_long = ranges.join(first, [*keys, "_range"]).select(*keys, *fields, "_first").mapInArrow(pieces, f"{kinds}, piece_no bigint, {PIECE}")
+    out = of_small.unionByName(of_long)
+    return out if with_text else out.drop("piece")
+
+
+def own_lengths(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_chars, longest): the code points of each item without the overlaps, and those of its longest piece, from the pieces alone."""
+    nxt = F.lead("start").over(Window.partitionBy(*keys).orderBy("piece_no"))  # over small rows, without text
+    own = pieces.select(*keys, "start", "n_chars", nxt.alias("_next"))
+    return own.groupBy(*keys).agg(F.max(F.when(F.col("_next").isNull(), F.col("start") + F.col("n_chars"))).alias("n_chars"), F.max("n_chars").alias("longest"))
 
 
 def _open(path: str):

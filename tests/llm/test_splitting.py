@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kerfline.llm.splitting import piece_table, split_files
+from kerfline.llm.splitting import own_lengths, piece_table, split_files
 
 
 def check(pieces, text, limit, overlap):
@@ -58,3 +58,17 @@ def test_files_are_split_by_byte_ranges(spark, tmp_path):
     for name, want in (("a.txt", text), ("b.txt", "é" * 5000)):
         check([r for r in rows if r["path"].endswith(name)], want, 400, 50)
     assert not [r for r in rows if r["path"].endswith("c.txt")]
+
+
+def test_giant_item_is_cut_in_several_tasks(spark):
+    text = "Une phrase de la page, avec une virgule. Une autre !\n"
+    df = spark.range(1).selectExpr("id", f"repeat('{text}', 40000) AS x", "4000 AS l", "200 AS o")
+    got = piece_table(df, ["id"], "x", "l", "o").withColumn("task", F.spark_partition_id()).collect()
+    check(got, text * 40000, 4000, 200)
+    assert len({r.task for r in got}) > 1
+
+
+def test_lengths_come_back_from_the_pieces(spark):
+    df = spark.createDataFrame(list(TEXTS.items()), "id int, x string").selectExpr("*", "300 AS l", "40 AS o")
+    got = {r.id: (r.n_chars, r.longest <= 300) for r in own_lengths(piece_table(df, ["id"], "x", "l", "o", False, span=700), ["id"]).collect()}
+    assert got == {k: (len(TEXTS[k]), True) for k in (1, 2, 3, 4, 9)}
