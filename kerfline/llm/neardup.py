@@ -6,10 +6,12 @@ Plan
    Hamming distance of two fingerprints is 64 * (1 - similarity).
 2. Overlapping shards: every text is a member of ``bands`` shards, one per tuple of
    ``rows`` MinHash values. Two texts that a shard boundary parts meet in another shard.
-3. In each shard the fingerprints are searched by a vantage-point tree: the set is split
-   at the median distance from a vantage point, and of the pairs across the split only
-   those are compared that the triangle bound leaves (both within the radius of the
-   median, their distances within the radius of each other).
+3. In each shard of two texts or more the fingerprints are searched by a vantage-point
+   tree: a vantage point is compared with all others, these are split at their median
+   distance from it, and of the pairs across the split only those are compared that the
+   triangle bound leaves (their distances from the vantage point within the radius of each
+   other). The trees of all shards of a batch grow together, one level at a time. Every
+   candidate pair comes out of a tree.
 4. A shard of more than SHARD_ROWS texts isn't held by one task. Its rows go to a second
    round: rings around a vantage point, each as wide as the radius, overlapping by one
    ring (triangle bound again), and rings that are still too large to a grid of blocks.
@@ -41,7 +43,8 @@ from kerfline.session import cut
 WORDS = re.compile(r"[^\W_]+").findall
 #: Rows of one shard that a task holds at once; beyond it the shard goes to the second round.
 SHARD_ROWS = 4096
-LEAF = 48
+#: Pairs of fingerprints that are compared at once (memory bound only).
+AT_ONCE = 1 << 20
 #: Words whose hash a Python worker remembers before it starts afresh (memory bound only).
 REMEMBERED_WORDS = 1_000_000
 
@@ -121,58 +124,69 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
 
 
-def vantage_join(f: np.ndarray, radius: int, at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of ``f`` within ``radius``, by a vantage-point tree."""
-    stack = [np.arange(len(f)) if at is None else at]
-    while stack:
-        s = stack.pop()
-        if len(s) <= LEAF:
-            i, j = np.triu_indices(len(s), 1)
-            near = distance(f[s[i]], f[s[j]]) <= radius
-            yield s[i[near]], s[j[near]]
-            continue
-        d = distance(f[s], f[s[0]])
-        mu = np.median(d[1:])
-        inner, outer = d <= mu, d > mu
-        if not outer.any():  # all at one distance: no split prunes, so compare row by row
-            for k in range(len(s) - 1):
-                near = s[k + 1 :][distance(f[s[k + 1 :]], f[s[k]]) <= radius]
-                yield np.full(len(near), s[k]), near
-            continue
-        stack += [s[inner], s[outer]]
-        yield from _across(f, s, d, np.flatnonzero(inner & (d > mu - radius)), np.flatnonzero(outer & (d <= mu + radius)), radius)
-
-
-def _across(f, s, d, left, right, radius) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs across a split; by the triangle bound their distances from the vantage point differ by the radius at most."""
-    right = right[np.argsort(d[right], kind="stable")]
-    low, high = np.searchsorted(d[right], d[left] - radius), np.searchsorted(d[right], d[left] + radius, side="right")
-    for k, a, b in zip(left, low, high, strict=True):
-        c = s[right[a:b]]
-        c = c[distance(f[c], f[s[k]]) <= radius]
-        yield np.full(len(c), s[k]), c
-
-
-def search_sorted(key: np.ndarray, t: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _expand(i: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for low <= j < high of each i, AT_ONCE or so at a time."""
+    n = np.maximum(high - low, 0)
+    keep = n > 0
+    i, low, n = i[keep], low[keep], n[keep]
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(i):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE)), at + 1)
+        m = n[at:to]
+        yield np.repeat(i[at:to], m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[at:to], m)
+        at = to
+
+
+def vantage_forest(shard: np.ndarray, f: np.ndarray, radius: int, counts: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one shard within ``radius``, by a vantage-point tree for each shard.
+
+    ``shard`` is sorted. ``counts`` receives how many pairs were ``compared`` and how many the triangle bound ``pruned``.
+    """
+    row = np.arange(len(shard))
+    _, node = np.unique(shard, return_inverse=True)  # the node that a row is in
+    while len(row):
+        first = np.concatenate([[True], node[1:] != node[:-1]])
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(row)))
+        vantage = np.repeat(row[start], size)
+        live = ~first  # a vantage point leaves its node
+        row, vantage, node = row[live], vantage[live], np.repeat(np.arange(len(start)), size)[live]
+        if not len(row):
+            return
+        d = distance(f[row], f[vantage])
+        near = d <= radius
+        yield vantage[near], row[near]
+        order = np.lexsort((d, node))
+        row, node, d = row[order], node[order], d[order]
+        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        size = np.diff(np.append(start, len(row)))
+        mu = np.repeat(d[start + (size - 1) // 2], size)
+        inner = d <= mu
+        split = np.repeat(start + np.add.reduceat(inner.astype(np.int64), start), size)  # where the outer rows begin
+        end = np.repeat(start + size, size)
+        place = np.arange(len(row))
+        flat = split == end  # all within the median: no split prunes, all pairs of the node are compared
+        reach = np.searchsorted(node * 1024 + d, node * 1024 + d + radius, side="right")
+        low, high = np.where(flat, place + 1, split), np.where(flat, end, np.minimum(reach, end))
+        high = np.where(inner, high, low)
+        for i, j in _expand(place, low, high):
+            near = distance(f[row[i]], f[row[j]]) <= radius
+            yield row[i[near]], row[j[near]]
+        if counts is not None:
+            counts["compared"] = counts.get("compared", 0) + len(row) + int(np.maximum(high - low, 0).sum())
+            counts["pruned"] = counts.get("pruned", 0) + int(np.where(inner & ~flat, end - np.maximum(high, low), 0).sum())
+        keep = ~flat
+        row, node = row[keep], (node * 2 + ~inner)[keep]
+
+
+def search_sorted(key: np.ndarray, t: np.ndarray, f: np.ndarray, radius: int, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Near pairs (smaller t, greater t) within each run of equal keys; rows are sorted by (key, t) and distinct."""
-    change = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(change, len(key)))
-    small = np.repeat(size <= LEAF, size)
-    a, b = [], []
-    for k in range(1, LEAF):  # neighbours k apart; in small shards this covers every pair
-        i = np.flatnonzero((key[k:] == key[:-k]) & small[k:])
-        if not len(i):
-            break
-        i = i[distance(f[i], f[i + k]) <= radius]
-        a.append(t[i])
-        b.append(t[i + k])
-    for c, n in zip(change[size > LEAF], size[size > LEAF], strict=True):
-        for i, j in vantage_join(f[c : c + n], radius):
-            x, y = t[c + i], t[c + j]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-    if not a:
-        return t[:0], t[:0]
+    a, b = [t[:0]], [t[:0]]
+    for i, j in vantage_forest(key, f, radius, counts):
+        x, y = t[i], t[j]
+        a.append(np.minimum(x, y))
+        b.append(np.maximum(x, y))
     p = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
     return p[:, 0], p[:, 1]
 
@@ -250,7 +264,7 @@ def _large_shards(rows: DataFrame, radius: int) -> DataFrame:
     return grid.select(cell.alias("key"), "t", "f0", "f1").repartition("key").sortWithinPartitions("key", "t").mapInArrow(_search(radius, False), PAIRS)
 
 
-def near_pairs(df: DataFrame, text: str, threshold: float = 0.8, width: int = 5, min_words: int = 1, bands: int = 24, rows: int = 4) -> DataFrame:
+def near_pairs(df: DataFrame, text: str, threshold: float = 0.8, width: int = 5, min_words: int = 1, bands: int = 20, rows: int = 3) -> DataFrame:
     """(t_a, t_b, similarity): exact pairs of different texts (64-bit text keys, t_a < t_b) of at least ``threshold``."""
     radius = int(64 * (1 - threshold) + 3.6 * (128 * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5)
     src = df.select(F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")).where("x IS NOT NULL")
@@ -308,12 +322,41 @@ def members(df: DataFrame, key: str, text: str, min_words: int = 1) -> DataFrame
     return df.where(F.col(text).isNotNull()).where(words >= min_words).select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("t")).distinct()
 
 
+#: Records of one class of equal texts that meet in one group of a join.
+CLASS_ROWS = 2000
+
+
+def _parted(who: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes in parts of about CLASS_ROWS records: (id, t, part) of records; (t, part) of classes; (t, n)."""
+    n = who.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    parts = n.select("t", "n", F.ceil(F.col("n") / CLASS_ROWS).cast("int").alias("parts"))
+    large = parts.where("parts > 1").select("t", "parts")
+    rows = who.join(large, "t", "left").select("id", "t", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
+    return rows, parts.select("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), n
+
+
 def near_duplicate_records(df: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, min_words: int = 1, **tuning) -> DataFrame:
-    """(id_a, id_b): every pair of records, copies included, of at least ``threshold``; id_a < id_b."""
-    who = members(df, key, text, min_words)
+    """(id_a, id_b): every pair of records, copies included, of at least ``threshold``; id_a < id_b.
+
+    A class of equal texts is dealt out in parts, so that the many pairs of a large one are made by many tasks.
+    """
+    who = cut(members(df, key, text, min_words))
+    rows, parts, n = _parted(who)
     pairs = near_pairs(df, text, threshold, width, min_words, **tuning).select("t_a", "t_b")
-    a, b = (who.select(F.col("id").alias(f"id_{s}"), F.col("t").alias(f"t_{s}")) for s in "ab")
-    near = pairs.join(a, "t_a").join(b, "t_b").select("id_a", "id_b")
-    copies = a.join(b, F.col("t_a") == F.col("t_b")).where("id_a < id_b").select("id_a", "id_b")
-    both = near.unionByName(copies)
-    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b").distinct()
+    same = n.where("n > 1").select(F.col("t").alias("t_a"), F.col("t").alias("t_b"))
+    pairs = pairs.unionByName(same)
+    a, b = (rows.select(F.col("id").alias(f"id_{s}"), F.col("t").alias(f"t_{s}"), F.col("part").alias(f"part_{s}")) for s in "ab")
+    pa_, pb = (parts.select(F.col("t").alias(f"t_{s}"), F.col("part").alias(f"part_{s}")) for s in "ab")
+    both = pairs.join(pa_, "t_a").join(pb, "t_b")  # pairs of parts
+    both = both.join(a, ["t_a", "part_a"]).join(b, ["t_b", "part_b"]).where("id_a <> id_b AND (t_a <> t_b OR id_a < id_b)")
+    out = both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return out.distinct()
+
+
+def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, min_words: int = 1, **tuning) -> DataFrame:
+    """(id, class_id, links) of every record with enough words: the smallest id with the same text, and how many other texts are near."""
+    who = cut(members(df, key, text, min_words))
+    pairs = near_pairs(df, text, threshold, width, min_words, **tuning)
+    links = pairs.select(F.explode(F.array("t_a", "t_b")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("links"))
+    classes = who.groupBy("t").agg(F.min("id").alias("class_id")).join(links, "t", "left").select("t", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return who.join(classes, "t").select("id", "class_id", "links")

@@ -24,14 +24,26 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked_names(spark, sf_dir)
 
 
+#: As TESTDATA states the problem: runs of three words, a similarity of 0.6, at least 20 words.
+NEAR = {"threshold": 0.6, "width": 3, "min_words": 20}
+RECORDS = (("strip", "knowledge_strips", "strip_id"), ("document", "parsed_docs", "doc_id"))
+
+
+def _both_tables(spark: SparkSession, sf_dir: str, operator) -> DataFrame:
+    parts = [operator(table(spark, sf_dir, name), key, "content", **NEAR).withColumn("item_kind", F.lit(kind)) for kind, name, key in RECORDS]
+    return parts[0].unionByName(parts[1])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerfline.llm.neardup import near_duplicate_records
 
-    parts = []
-    for kind, name, key in (("strip", "knowledge_strips", "strip_id"), ("document", "parsed_docs", "doc_id")):
-        pairs = near_duplicate_records(table(spark, sf_dir, name), key, "content", threshold=0.6, width=3, min_words=20)
-        parts.append(pairs.select(F.lit(kind).alias("item_kind"), "id_a", "id_b"))
-    return parts[0].unionByName(parts[1])
+    return _both_tables(spark, sf_dir, near_duplicate_records).select("item_kind", "id_a", "id_b")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerfline.llm.neardup import near_duplicate_groups
+
+    return _both_tables(spark, sf_dir, near_duplicate_groups).select("item_kind", "id", "class_id", "links")
 
 
 def _oversized(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
@@ -86,7 +98,7 @@ def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.sum(own).cast("bigint").alias("n_chars"), F.count_if(F.col("n_chars") > limit).alias("over_limit"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_lengths": p3_lengths, "p3_files": p3_files, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_lengths": p3_lengths, "p3_files": p3_files, "p4_found": p4_found, "p4_groups": p4_groups}
 _PAIRS = r"""SELECT '{kind}' AS item_kind, id_a, id_b FROM (
   SELECT a.id AS id_a, b.id AS id_b, count(*) AS common, any_value(a.n) AS n, any_value(b.n) AS m FROM {kind}_sets a JOIN {kind}_sets b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
 WHERE common / (n + m - common) >= 0.6 - 1e-12"""
@@ -94,6 +106,14 @@ _SETS = r"""{kind}_sets AS (SELECT id, unnest(s) AS s, len(s) AS n FROM (
   SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM (
     SELECT DISTINCT {key} AS id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE content IS NOT NULL) WHERE len(w) >= 20))"""
 
+_CLASSES = r"""{kind}_texts AS (SELECT DISTINCT {key} AS id, content FROM {table} WHERE len(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+')) >= 20),
+{kind}_classes AS (SELECT content, min(id) AS class_id FROM {kind}_texts GROUP BY content),
+{kind}_sets AS (SELECT id, unnest(s) AS s, len(s) AS n FROM (
+  SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM (
+    SELECT class_id AS id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM {kind}_classes)))"""
+_GROUPS = r"""SELECT '{kind}' AS item_kind, id, class_id, coalesce(links, 0) AS links FROM {kind}_texts JOIN {kind}_classes USING (content)
+LEFT JOIN (SELECT unnest([id_a, id_b]) AS class_id, count(*) AS links FROM ({pairs}) GROUP BY 1) USING (class_id)"""
+
 SQL: dict[str, str] = {
     "p4_found": "WITH "
     + _SETS.format(kind="strip", key="strip_id", table="knowledge_strips")
@@ -103,6 +123,10 @@ SQL: dict[str, str] = {
     + _PAIRS.format(kind="strip")
     + " UNION ALL "
     + _PAIRS.format(kind="document"),
+    "p4_groups": "WITH "
+    + ", ".join(_CLASSES.format(kind=kind, key=key, table=name) for kind, name, key in RECORDS)
+    + " "
+    + " UNION ALL ".join(_GROUPS.format(kind=kind, pairs=_PAIRS.format(kind=kind)) for kind, _, _ in RECORDS),
     "p3_files": "SELECT CAST(sum(length(content) + 1) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS over_limit FROM parsed_docs WHERE content IS NOT NULL",
     "p3_lengths": """
 SELECT item_kind, item_id, section_no, CAST(n AS BIGINT) AS n_chars, true AS within_limit FROM (

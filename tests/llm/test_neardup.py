@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from kerfline.operators import neardup as N
+from kerfline.llm import neardup as N
 
 WORDS = [f"mot{k}" for k in range(400)]
 
@@ -38,7 +38,7 @@ def test_pairs_equal_brute_force(spark):
     rows += [(500, None), (501, ""), (502, "trop court"), (503, "  "), rows[0], (504, rows[1][1]), (505, "long " * 30_000 + "fin")]
     df = spark.createDataFrame(rows, "id bigint, x string").withColumn("t", F.lit(1)).withColumn("key", F.lit("a"))
     for threshold, width, least in ((0.6, 3, 20), (0.8, 5, 1)):
-        got = {tuple(r) for r in N.near_duplicate_records(df, "id", "x", threshold, width, least, bands=40, rows=3).collect()}
+        got = {tuple(r) for r in N.near_duplicate_records(df, "id", "x", threshold, width, least).collect()}
         want = brute(rows, threshold, width, least)
         assert got <= want and len(got) >= 0.98 * len(want) and want
 
@@ -48,22 +48,39 @@ def test_empty_table(spark):
     assert N.near_duplicate_records(df, "id", "x").count() == 0
 
 
-def test_vantage_tree_finds_all_pairs_within_radius():
+def test_vantage_forest_finds_all_pairs_within_radius(monkeypatch):
+    monkeypatch.setattr(N, "AT_ONCE", 50)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, (60, 2), dtype=np.uint64)
     flips = np.uint64(1) << rng.integers(0, 63, (600, 2), dtype=np.uint64)
-    f = np.concatenate([base, np.repeat(base, 10, 0) ^ flips])
-    got = {(min(a, b), max(a, b)) for x, y in N.vantage_join(f, 20) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-    d = np.bitwise_count(f[:, None] ^ f[None]).sum(-1)
-    assert got == {(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if d[i, j] <= 20}
+    f = np.concatenate([base, np.repeat(base, 10, 0) ^ flips, np.repeat(base[:1], 40, 0)])
+    for shard in (np.zeros(len(f), int), np.sort(rng.integers(0, 9, len(f))), np.arange(len(f))):
+        counts = {}
+        found = [(min(a, b), max(a, b)) for x, y in N.vantage_forest(shard, f, 20, counts) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        d = np.bitwise_count(f[:, None] ^ f[None]).sum(-1)
+        assert sorted(found) == sorted((i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if d[i, j] <= 20 and shard[i] == shard[j])
+        n = np.bincount(shard)
+        assert counts.get("compared", 0) + counts.get("pruned", 0) == (n * (n - 1) // 2).sum()
 
 
+def test_groups(spark):
+    rows = [(1, "un deux trois quatre cinq six"), (2, "un deux trois quatre cinq six"), (3, "un deux trois quatre cinq six sept"), (4, "rien de tout cela ici même"), (5, None), (6, "court")]
+    got = {tuple(r) for r in N.near_duplicate_groups(spark.createDataFrame(rows, "id bigint, x string"), "id", "x", 0.6, 3, 5).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0)}
+
+
+def test_large_class_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(N, "CLASS_ROWS", 7)
+    rows = [(k, "un deux trois quatre cinq six" + (" sept" if k % 5 == 0 else "")) for k in range(60)]
+    got = [tuple(r) for r in N.near_duplicate_records(spark.createDataFrame(rows, "id bigint, x string"), "id", "x", 0.6, 3, 5).collect()]
+    assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
 def test_large_shards_go_to_the_second_round(spark, monkeypatch):
     monkeypatch.setattr(N, "SHARD_ROWS", 8)
     rows = corpus(60, 3)
     base = rows[0][1]
     rows += [(1000 + k, base + f" fin{k}") for k in range(40)]  # a hot shard of different texts
     df = spark.createDataFrame(rows, "id bigint, x string")
-    got = {tuple(r) for r in N.near_duplicate_records(df, "id", "x", 0.6, 3, 20, bands=40, rows=3).collect()}
+    got = {tuple(r) for r in N.near_duplicate_records(df, "id", "x", 0.6, 3, 20).collect()}
     want = brute(rows, 0.6, 3, 20)
     assert got <= want and len(got) >= 0.98 * len(want)
