@@ -1,6 +1,6 @@
 import pytest
 
-from kerfline.operators import names as N
+from kerfline.llm import names as N
 
 SAME = [
     ("Guillaume Gamenon", "Gamenon, G."),
