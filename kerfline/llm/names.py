@@ -329,10 +329,11 @@ def verified(parsed: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD)
     return j.mapInArrow(run, "a string, b string, score double, partial boolean")
 
 
-def star_clusters(parsed: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def star_clusters(parsed: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, centre) of every linked name. Rank: full names first, then linked names, then mentions, then the name.
 
-    A name that is left over joins the star that all its neighbours are in.
+    A name that is left over joins the star that all its neighbours are in. Every round takes at least the
+    name of the highest rank out, so the rounds end when no linked name is left.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "partial").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "partial"))
     degree = both.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
@@ -341,7 +342,7 @@ def star_clusters(parsed: DataFrame, edges: DataFrame, most_rounds: int = 40) ->
     rank = parsed.join(degree, parsed["name"] == degree["u"]).select("name", F.struct((full & ~dotted).cast("int").alias("full"), F.col("d"), F.col("n"), F.col("name").alias("by")).alias("rank"))
     both = cut(both.join(rank.select(F.col("name").alias("u"), F.col("rank").alias("ru")), "u").join(rank.select(F.col("name").alias("v"), F.col("rank").alias("rv")), "v"))
     done, live = None, both
-    for _ in range(most_rounds):
+    while not live.isEmpty():
         best = live.groupBy("u").agg(F.max("rv").alias("top"), F.first("ru").alias("ru"))
         centre = best.where("ru > top").select(F.col("u").alias("c"))
         reach = live.join(centre, live["v"] == centre["c"]).groupBy("u").agg(F.max(F.struct("rv", "v", "partial")).alias("m"), F.count_distinct("v").alias("k"))
@@ -350,8 +351,8 @@ def star_clusters(parsed: DataFrame, edges: DataFrame, most_rounds: int = 40) ->
         done = now if done is None else done.unionByName(now)
         gone = now.select("name")
         live = cut(live.join(gone.withColumnRenamed("name", "u"), "u", "left_anti").join(gone.withColumnRenamed("name", "v"), "v", "left_anti"))
-        if live.isEmpty():
-            break
+    if done is None:
+        return both.select(F.col("u").alias("name"), F.col("v").alias("centre")).limit(0)
     lost = both.join(done.select(F.col("name").alias("u")), "u", "left_anti").join(done.select(F.col("name").alias("v"), "centre"), "v")
     late = lost.groupBy("u").agg(F.min("centre").alias("centre"), F.max("centre").alias("other")).where("centre = other")
     return done.unionByName(late.select(F.col("u").alias("name"), "centre"))
