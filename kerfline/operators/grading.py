@@ -80,7 +80,7 @@ def grade(pairs: DataFrame) -> DataFrame:
     """pairs with keyword, content_type, score, confidence and relevance."""
     q, c = F.col("query"), F.coalesce(F.col("content"), F.lit(""))
     s = pairs.withColumn("keyword", F.round(keyword_score(q, c), 9)).withColumn("content_type", content_type_score(q, F.col("strip_type")))
-    mean, sure = combine([(F.col("keyword"), 0.30), (F.col("content_type"), 0.20), (F.lit(0.5), 0.25)])
+    mean, sure = combine([(F.col("keyword"), 0.30), (F.col("content_type"), 0.20)])  # the scores that there are
     s = s.withColumn("score", F.round(post_process(mean, q, c), 9)).withColumn("confidence", F.round(sure, 9))
     return s.withColumn("relevance", relevance(F.col("score")))
 

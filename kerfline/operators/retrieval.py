@@ -7,7 +7,11 @@ of each query per row block leave it. No vector set goes through the driver.
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,18 +20,32 @@ from pyspark.sql.window import Window
 BLOCK = 4096
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+WORDS = re.compile(r"[^\W_]+").findall
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A deterministic bag-of-words vector (feature hashing with signs, unit length); stands in where no model is given."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
-    at = F.transform(w, lambda x: F.struct(F.pmod(F.xxhash64(x), F.lit(size)).alias("k"), F.when(F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(at, lambda e: e["k"] == k), F.lit(0.0), lambda s, e: s + e["s"]))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float"))
+    """A deterministic bag-of-words vector (feature hashing with signs, unit length), in Arrow batches; stands in where no model is given.
+
+    A null or wordless text has the zero vector.
+    """
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, float]] = {}
+        out = []
+        for t in texts:
+            v = np.zeros(size)
+            for w in WORDS((t or "").lower()):
+                if w not in known:
+                    h = zlib.crc32(w.encode())
+                    known[w] = (h >> 1) % size, 1.0 if h & 1 else -1.0
+                k, s = known[w]
+                v[k] += s
+            n = np.sqrt(v @ v)
+            out.append((v / n if n else v).astype(np.float32).tolist())
+        return pd.Series(out, dtype=object)
+
+    return embed(text)
 
 
 def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:

@@ -32,13 +32,16 @@ def section_level(title: Column) -> Column:
 
 
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start_line, title, level, content): text before the first title belongs to no section."""
-    x = lines(df, key, text).where("line <> ''").withColumn("is_title", F.col("line").rlike(TITLE))
-    w = Window.partitionBy(key).orderBy("line_no")
-    x = x.withColumn("section", F.sum(F.col("is_title").cast("int")).over(w)).where("section > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_title"), F.struct("line_no", "line")))), lambda s: s["line"]), "\n")
-    g = x.groupBy(key, "section").agg(F.min("line_no").alias("start_line"), F.min_by("line", "line_no").alias("title"), body.alias("content"))
-    return g.select(key, "start_line", "title", section_level(F.col("title")).cast("int").alias("level"), "content")
+    """(key, start_line, title, level, content): text before the first title belongs to no section. Arrays within the row, no shuffle."""
+    numbered = F.transform(F.split(F.col(text), "\n"), lambda v, i: F.struct(F.regexp_replace(v, EDGES, "").alias("line"), i.alias("no")))
+    x = df.where(F.col(text).isNotNull()).select(key, F.filter(numbered, lambda v: v["line"] != "").alias("_lines")).where(F.size("_lines") > 0)
+    x = x.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i)["line"].rlike(TITLE)))
+    ends = F.transform("_starts", lambda s, i: F.struct(s.alias("from"), F.coalesce(F.get("_starts", i + 1), F.size("_lines")).alias("to")))
+    x = x.select(key, "_lines", F.explode(ends).alias("_s"))
+    title = F.get("_lines", F.col("_s.from"))
+    body = F.array_join(F.slice("_lines.line", F.col("_s.from") + 2, F.col("_s.to") - F.col("_s.from") - 1), "\n")
+    x = x.select(key, title["no"].alias("start_line"), title["line"].alias("title"), body.alias("content"))
+    return x.select(key, "start_line", "title", section_level(F.col("title")).cast("int").alias("level"), "content")
 
 
 def without_repeated_lines(df: DataFrame, key: str, text: str, share: float = 0.3) -> DataFrame:

@@ -11,37 +11,13 @@ from pyspark.sql import functions as F
 
 from kerfline.functions import lexicon as L
 from kerfline.functions.text import any_of, best_of, clean, first_of, let, table_text
-from kerfline.operators import grading, metadata, retrieval, security, strips, structure
-from kerfline.session import latest_per_key, table
+from kerfline.operators import answers, grading, metadata, retrieval, security, strips, structure
+from kerfline.plans.sql import LATEST_DOCS, STRIPS, q, sql_any, sql_best, sql_first, sql_hits
+from kerfline.session import latest_per_key, latest_rows, table
 
 AS_OF = "2026-01-01"
 
 
-# -- SQL helpers: the same fixed word lists as text -----------------------------
-def q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def sql_hits(low: str, words: list[str], weight: int = 1) -> str:
-    return "(" + " + ".join(f"(CASE WHEN contains({low}, {q(w)}) THEN {weight} ELSE 0 END)" for w in words) + ")"
-
-
-def sql_any(low: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({low}, {q(w)})" for w in words) + ")"
-
-
-def sql_best(scores: list[tuple[str, str]], default: str) -> str:
-    """Over columns named in ``scores`` as (label, column)."""
-    top = "greatest(" + ", ".join(c for _, c in scores) + ")"
-    return f"CASE WHEN {top} <= 0 THEN {q(default)} " + " ".join(f"WHEN {c} = {top} THEN {q(n)}" for n, c in scores) + " END"
-
-
-def sql_first(low: str, labels: dict[str, list[str]], default: str) -> str:
-    return "CASE " + " ".join(f"WHEN {sql_any(low, w)} THEN {q(n)}" for n, w in labels.items()) + f" ELSE {q(default)} END"
-
-
-LATEST_DOCS = "(SELECT * FROM parsed_docs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC) = 1)"
-STRIPS = "(SELECT DISTINCT ON (strip_id) * FROM knowledge_strips)"
 META = "(SELECT DISTINCT ON (document_id) * FROM document_metadata)"
 RESULTS = "(SELECT * FROM crag_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY logged_at DESC) = 1)"
 RESPONSES = "(SELECT DISTINCT ON (response_id) * FROM generated_responses)"
@@ -49,7 +25,7 @@ SPACE = r"'^\s+|\s+$'"
 
 
 def latest_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return latest_per_key(table(spark, sf_dir, "parsed_docs").select("doc_id", "loaded_at", *columns), "doc_id", "loaded_at")
+    return latest_rows(table(spark, sf_dir, "parsed_docs").select("doc_id", "loaded_at", *columns), "doc_id", "loaded_at")
 
 
 # -- documents -------------------------------------------------------------------
@@ -191,9 +167,30 @@ def refined_sources(spark, d):
     return grading.refine(_graded(spark, d), "response_id", "strip_id").select("response_id", "strip_id", "phase", "place")
 
 
+def _refined(spark, d):
+    return grading.refine(_graded(spark, d), "response_id", "strip_id")
+
+
+def _covered(spark, d):
+    return answers.coverage(_refined(spark, d), "response_id", security.intent(F.coalesce("query", F.lit(""))))
+
+
+def answer_coverage(spark, d):
+    return _covered(spark, d).drop("summary")
+
+
+def answer_elements(spark, d):
+    return answers.elements(_refined(spark, d), "response_id")
+
+
+def answer_texts(spark, d):
+    return answers.answer(answers.elements(_refined(spark, d), "response_id"), "response_id")
+
+
 def answer_confidence(spark, d):
-    kept = grading.refine(_graded(spark, d), "response_id", "strip_id").groupBy("response_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("quality"), F.avg((F.col("keyword") >= 0.5).cast("double")).alias("coverage"))
-    rows = table(spark, d, "generated_responses").select("response_id", "answer").dropDuplicates(["response_id"]).join(kept, "response_id", "left")
+    kept = _refined(spark, d).groupBy("response_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("quality"))
+    rows = table(spark, d, "generated_responses").select("response_id", "answer").dropDuplicates(["response_id"])
+    rows = rows.join(kept, "response_id", "left").join(_covered(spark, d).select("response_id", "coverage"), "response_id", "left")
     c = grading.answer_confidence(F.coalesce("coverage", F.lit(0.0)), F.coalesce("n", F.lit(0)), F.coalesce("answer", F.lit("")), F.coalesce("quality", F.lit(0.0)))
     return rows.select("response_id", F.round(c, 5).alias("confidence"))
 
@@ -252,7 +249,7 @@ def table_kinds(spark, d):
 
 
 def table_statuses(spark, d):
-    cells = latest_docs(spark, d, "tables").select("doc_id", F.explode("tables").alias("t")).select("doc_id", F.explode(F.flatten(F.slice("t.data", 2, 100_000))).alias("cell")).where("coalesce(cell, '') <> ''")
+    cells = latest_docs(spark, d, "tables").select("doc_id", F.explode("tables").alias("t")).select("doc_id", F.explode(F.flatten(F.slice("t.data", 2, F.size("t.data")))).alias("cell")).where("coalesce(cell, '') <> ''")
     return cells.groupBy("doc_id", security.status(F.col("cell")).alias("status")).agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -264,9 +261,9 @@ def question_intents(spark, d):
 def audited_sources(spark, d):
     results = latest_per_key(table(spark, d, "crag_results").select("result_id", strips.audit_context(F.coalesce("query", F.lit(""))).alias("context"), "logged_at"), "result_id", "logged_at").select("result_id", F.col("context").alias("audit"))
     used = table(spark, d, "generated_responses").select("response_id", "result_id", F.explode("sources_used").alias("s")).select("response_id", "result_id", F.expr("try_cast(s AS bigint)").alias("strip_id")).distinct()
-    texts = table(spark, d, "knowledge_strips").select("strip_id", "content", "context").groupBy("strip_id").agg(F.first("content").alias("content"), F.first("context.doc_type").alias("doc_type"), F.first("context.is_official").alias("official"))
-    j = used.join(results, "result_id").join(texts, "strip_id")
-    bonus = strips.audit_bonus(F.col("audit"), F.col("doc_type"), F.col("official"), F.coalesce("content", F.lit("")), F.lit(0.5))
+    kinds = table(spark, d, "knowledge_strips").groupBy("strip_id").agg(F.first("context.doc_type").alias("doc_type"), F.first("context.is_official").alias("official"))
+    j = _graded(spark, d).join(used.select("response_id", "result_id").distinct(), "response_id").join(results, "result_id").join(kinds, "strip_id")
+    bonus = strips.audit_bonus(F.col("audit"), F.col("doc_type"), F.col("official"), F.coalesce("content", F.lit("")), F.col("score"))
     return j.select("response_id", "strip_id", "audit", F.round(bonus, 6).alias("score"))
 
 
@@ -276,7 +273,7 @@ def documents_per_day(spark, d):
     return daily_documents(spark, f"{d}/parsed_docs.parquet")
 
 
-QUERIES = {f.__name__: f for f in (doc_hashes, doc_types, doc_strip_types, doc_sections, doc_headings, doc_without_repeats, doc_clean, doc_tables, doc_paragraphs, doc_sentences, doc_confidence, doc_warnings, parsing_report, faq_pairs, doc_dates, strip_domain, strip_signatures, strip_mapped_controls, question_contexts, question_concepts, graded_sources, refined_sources, answer_confidence, shortened_answers, metadata_completeness, metadata_lifecycle, reference_edges, compliance_counts, nearest_vectors, documents_per_day, security_context, security_domain_hits, pair_quality, table_kinds, table_statuses, question_intents, audited_sources)}
+QUERIES = {f.__name__: f for f in (doc_hashes, doc_types, doc_strip_types, doc_sections, doc_headings, doc_without_repeats, doc_clean, doc_tables, doc_paragraphs, doc_sentences, doc_confidence, doc_warnings, parsing_report, faq_pairs, doc_dates, strip_domain, strip_signatures, strip_mapped_controls, question_contexts, question_concepts, graded_sources, refined_sources, answer_coverage, answer_elements, answer_texts, answer_confidence, shortened_answers, metadata_completeness, metadata_lifecycle, reference_edges, compliance_counts, nearest_vectors, documents_per_day, security_context, security_domain_hits, pair_quality, table_kinds, table_statuses, question_intents, audited_sources)}
 
 # -- SQL --------------------------------------------------------------------------------
 _KINDS = list(L.DOCUMENT_TYPES)
@@ -300,12 +297,12 @@ scored AS (SELECT p.*, keyword, len({_WORDS.format('content')}) AS n, (CASE
     WHEN NOT (contains(q, 'comment') AND (contains(q, 'fonctionne') OR contains(q, 'marche'))) AND NOT {sql_any('q', ["qu'est-ce", "quoi", "définition"])} AND contains(q, 'exemple') AND NOT contains(q, 'pourquoi') AND strip_type = 'example' THEN 0.9
     WHEN strip_type = 'definition' THEN 0.6 WHEN strip_type = 'example' THEN 0.4 ELSE 0.5 END)::DOUBLE AS content_type
   FROM pairs p JOIN words USING (response_id, strip_id)),
-means AS (SELECT *, (keyword * 0.30 + content_type * 0.20 + 0.5::DOUBLE * 0.25) / 0.75 AS mean, (keyword + content_type + 0.5::DOUBLE) / 3 AS centre FROM scored),
+means AS (SELECT *, (keyword * 0.30 + content_type * 0.20) / 0.5 AS mean, (keyword + content_type) / 2 AS centre FROM scored),
 step1 AS (SELECT *, CASE WHEN n < 5 THEN mean * 0.7 ELSE mean END AS s1 FROM means),
 step2 AS (SELECT *, CASE WHEN contains(q, 'comment') AND contains(q, 'fonctionne') AND {sql_any('low', ['utilise', 'permet', 'mécanisme', 'processus'])} THEN least(1.0::DOUBLE, s1 * 1.2) ELSE s1 END AS s2 FROM step1),
-graded AS (SELECT response_id, strip_id, content, low, strip_type, keyword, content_type,
+graded AS (SELECT response_id, strip_id, q, content, low, strip_type, keyword, content_type,
   round(CASE WHEN (contains(q, 'comment') OR contains(q, 'fonctionnement')) AND n < 20 AND regexp_matches(low, '(^|[^0-9A-Za-z_])(19|20)[0-9]{{2}}([^0-9A-Za-z_]|$)') THEN s2 * 0.5 ELSE s2 END, 9) AS score,
-  round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, 1 - 2 * ((keyword - centre) ** 2 + (content_type - centre) ** 2 + (0.5 - centre) ** 2) / 3)), 9) AS confidence FROM step2)"""
+  round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, 1 - 2 * ((keyword - centre) ** 2 + (content_type - centre) ** 2) / 2)), 9) AS confidence FROM step2)"""
 _SIGNATURE = "array_to_string(list_sort(list_transform(list_slice(list_sort(list_transform(w, lambda x, i: {{'n': -length(x), 'i': i, 'w': x}})), 1, 5), lambda s: s.w)), ' ')".replace("{{", "{").replace("}}", "}")
 _REFINED = (
     _GRADED
@@ -315,6 +312,46 @@ one AS (SELECT *, CASE WHEN strip_type = 'definition' THEN 1 WHEN {sql_any('low'
   FROM sig QUALIFY row_number() OVER (PARTITION BY response_id, signature ORDER BY score DESC, strip_id) = 1),
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY response_id ORDER BY phase, score DESC, strip_id) AS INTEGER) AS place FROM one QUALIFY place <= 10)"""
 )
+_INTENT = "CASE " + " ".join(f"WHEN regexp_matches(q, {q('|'.join(p))}) THEN {q(k)}" for k, p in reversed(L.QUESTION_INTENTS.items())) + " ELSE 'general' END"
+
+
+def _need_sql(need: str) -> str:
+    words, pattern, types = answers.NEEDS[need]
+    return "(" + " OR ".join([sql_any("low", words), *([f"regexp_matches(low, {q(pattern)})"] if pattern else []), *([f"coalesce(strip_type, '') IN ({', '.join(map(q, types))})"] if types else [])]) + ")"
+
+
+def _list_sql(names: list[str]) -> str:
+    return "[" + ", ".join(map(q, names)) + "]"
+
+
+_COVERED = (
+    _REFINED
+    + rf""", told AS (SELECT *, {_INTENT} AS intent, list_filter(string_split_regex(q, '\s+'), lambda w: length(w) > 3 AND w NOT IN ({', '.join(map(q, answers.NO_CONCEPTS))})) AS words FROM placed),
+grouped AS (SELECT response_id, any_value(intent) AS intent, any_value(words) AS words, count(*) AS n, count(*) FILTER (score >= 0.7) AS good, max(score) AS top, string_agg(low, chr(1)) AS every,
+  list_filter([{', '.join(f"CASE WHEN bool_or{_need_sql(need)} THEN {q(need)} END" for need in answers.NEEDS)}], lambda x: x IS NOT NULL) AS met,
+  CASE any_value(intent) {' '.join(f"WHEN {q(k)} THEN {_list_sql(v)}" for k, v in answers.ESSENTIAL.items())} ELSE [] END AS need,
+  CASE any_value(intent) {' '.join(f"WHEN {q(k)} THEN {_list_sql(v)}" for k, v in answers.OPTIONAL.items())} ELSE [] END AS may FROM told GROUP BY response_id),
+found AS (SELECT response_id, count(DISTINCT CASE WHEN contains(low, w) THEN i END) AS found FROM (SELECT response_id, low, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM told) GROUP BY 1),
+rated AS (SELECT *, list_filter(list_concat(need, may), lambda x: list_contains(met, x)) AS covered, list_filter(need, lambda x: NOT list_contains(met, x)) AS missing FROM grouped),
+based AS (SELECT *, CASE WHEN len(need) > 0 THEN (len(need) - len(missing)) / len(need) WHEN n >= 3 AND top > 0.7 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS plain FROM rated),
+blended AS (SELECT based.*, CASE WHEN good >= 3 THEN least(1.0::DOUBLE, plain * 1.2::DOUBLE) ELSE plain END AS base, coalesce(found, 0) AS found FROM based LEFT JOIN found USING (response_id)),
+scored2 AS (SELECT *, CASE WHEN len(words) > 0 THEN base * 0.7::DOUBLE + found / len(words) * 0.3::DOUBLE ELSE base END AS coverage FROM blended),
+decided AS (SELECT *, NOT (coverage >= 0.8 OR good >= 4 OR (len(need) > 0 AND len(missing) <= len(need) / 2)) AND (n < 3 OR coverage < 0.6) AS needs_more FROM scored2)"""
+)
+_ELEMENTS = (
+    _REFINED
+    + rf""", named AS (SELECT *, CASE WHEN coalesce(strip_type, '') = 'definition' THEN 'definition' WHEN {sql_any('low', ['mécanisme', 'utilise'])} THEN 'mechanism' WHEN coalesce(strip_type, '') = 'enumeration' OR contains(content, '- ') THEN 'components'
+  WHEN {sql_any('low', ['bert', 'gpt', 'exemple'])} THEN 'example' WHEN {sql_any('low', answers.DETAIL_WORDS)} THEN 'details' WHEN {sql_any('low', answers.REASON_WORDS)} THEN 'reason' WHEN {sql_any('low', answers.GAIN_WORDS)} THEN 'gains' END AS part,
+  CASE WHEN place <= 5 AND {sql_any('low', answers.KEY_WORDS)} THEN regexp_replace(list_filter(string_split(content, '.'), lambda s: {sql_any('lower(s)', answers.KEY_WORDS[:2])})[1], {SPACE}, '', 'g') || '.' END AS point FROM placed),
+parts0 AS (SELECT response_id, {', '.join(f"arg_min(content, place) FILTER (part = '{p}') AS {p}" for p in ('definition', 'mechanism', 'example', 'reason', 'gains'))}, arg_max(content, place) FILTER (part = 'components') AS components,
+  coalesce(string_agg(content, chr(10) || chr(10) ORDER BY place) FILTER (part = 'details'), '') AS details, coalesce(array_to_string(list(point ORDER BY place) FILTER (point IS NOT NULL)[1:3], chr(10)), '') AS key_points FROM named GROUP BY response_id),
+parts AS (SELECT *, split_part(definition, '.', 1) || '.' AS short_definition, split_part(example, '.', 1) || '.' AS short_example,
+  CASE WHEN len(list_filter(string_split_regex(mechanism, '\s+'), lambda x: x <> '')) <= 50 THEN mechanism ELSE array_to_string(list_filter(string_split_regex(mechanism, '\s+'), lambda x: x <> '')[1:50], ' ') || '...' END AS short_mechanism,
+  CASE WHEN definition IS NULL THEN NULL WHEN regexp_extract(definition, '([\p{{L}}\p{{N}}_\s]+)\s+(?:est|sont)', 1) <> '' THEN regexp_replace(regexp_extract(definition, '([\p{{L}}\p{{N}}_\s]+)\s+(?:est|sont)', 1), {SPACE}, '', 'g')
+    ELSE array_to_string(list_filter(string_split_regex(definition, '\s+'), lambda x: x <> '')[1:3], ' ') END AS subject,
+  regexp_replace(CASE {' '.join(f"WHEN regexp_extract(lower(mechanism), '{p}', 1) <> '' THEN regexp_extract(lower(mechanism), '{p}', 1)" for p in answers.MECHANISMS)} ELSE 'leur mécanisme spécifique' END, {SPACE}, '', 'g') AS key_mechanism FROM parts0)"""
+)
+_ELEMENT_COLUMNS = "response_id, definition, mechanism, example, reason, gains, components, details, key_points, short_definition, short_mechanism, short_example, subject, key_mechanism"
 _named = lambda t: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {sql_any('low', [x.lower() for x in w])} THEN {q(k)} END" for k, w in t.items()) + "], lambda x: x IS NOT NULL)), ',')"
 _count_named = lambda t: "(" + " + ".join(f"(CASE WHEN {sql_any('low', [x.lower() for x in w])} THEN 1 ELSE 0 END)" for w in t.values()) + ")"
 _MAPPED = " + ".join(f"len(list_filter(iso, lambda c: c = {q(c)})) * len(list_filter(other, lambda c: c IN ({', '.join(map(q, p))})))" for c, p in L.CONTROL_MAPPING.items())
@@ -323,7 +360,7 @@ _MAPPED = " + ".join(f"len(list_filter(iso, lambda c: c = {q(c)})) * len(list_fi
 def _audit_case(rule) -> str:
     name, required, preferred, weights, formal = rule
     weight = "CASE " + " ".join(f"WHEN kind = {q(k)} THEN {v}::DOUBLE" for k, v in weights.items()) + " ELSE 1.0::DOUBLE END"
-    score = f"0.5::DOUBLE * {weight} + least(0.2::DOUBLE, 0.05::DOUBLE * {sql_hits('low', required)}) + least(0.1::DOUBLE, 0.02::DOUBLE * {sql_hits('low', preferred)})"
+    score = f"base * {weight} + least(0.2::DOUBLE, 0.05::DOUBLE * {sql_hits('low', required)}) + least(0.1::DOUBLE, 0.02::DOUBLE * {sql_hits('low', preferred)})"
     score += " + CASE WHEN official THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END" * formal + " + mapped" * (name in ("iso_27001", "rgpd_gdpr"))
     return f"WHEN audit = {q(name)} THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, {score}))"
 
@@ -383,8 +420,12 @@ FROM (SELECT result_id, lower(coalesce(query, '')) AS low FROM {RESULTS}))""",
     + " ".join(f"WHEN score >= {v} THEN {q(n)}" for n, v in L.RELEVANCE)
     + " ELSE 'not_relevant' END AS relevance FROM graded",
     "refined_sources": _REFINED + " SELECT response_id, strip_id, phase, place FROM placed",
-    "answer_confidence": _REFINED
-    + f""", per AS (SELECT response_id, count(*) AS n, avg(score) AS quality, avg((keyword >= 0.5)::INT::DOUBLE) AS coverage FROM placed GROUP BY 1),
+    "answer_coverage": _COVERED + " SELECT response_id, intent, n, array_to_string(covered, ',') AS covered, array_to_string(missing, ',') AS missing, round(coverage, 6) AS coverage, needs_more FROM decided",
+    "answer_elements": _ELEMENTS + f" SELECT {_ELEMENT_COLUMNS} FROM parts",
+    "answer_texts": _ELEMENTS
+    + """ SELECT response_id, concat_ws(chr(10) || chr(10), nullif(definition, ''), 'Fonctionnement : ' || nullif(mechanism, ''), nullif(details, ''), nullif(components, ''), 'Exemple : ' || nullif(example, ''), nullif(reason, ''), nullif(gains, '')) AS answer FROM parts""",
+    "answer_confidence": _COVERED
+    + f""", per AS (SELECT response_id, count(*) AS n, avg(score) AS quality, any_value(coverage) AS coverage FROM placed JOIN (SELECT response_id, round(coverage, 6) AS coverage FROM decided) USING (response_id) GROUP BY 1),
 f AS (SELECT response_id, coalesce(coverage, 0) AS c, coalesce(n, 0) AS n, coalesce(quality, 0) AS g, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - abs(length(coalesce(answer, '')) - 300) / 300)) AS l FROM {RESPONSES} LEFT JOIN per USING (response_id))
 SELECT response_id, round(CASE WHEN n > 0 THEN (c + least(n / 5, 1.0::DOUBLE) + l + g) / 4 ELSE (c + least(n / 5, 1.0::DOUBLE) + l) / 3 END, 5) AS confidence FROM f""",
     "shortened_answers": rf"""WITH t AS (SELECT DISTINCT response_id, CASE WHEN t <> '' AND right(t, 1) NOT IN ('.', '!', '?') THEN t || '.' ELSE t END AS t FROM (SELECT response_id, regexp_replace(regexp_replace(answer, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g') AS t FROM generated_responses WHERE answer IS NOT NULL)),
@@ -417,10 +458,11 @@ FROM (SELECT doc_id, i, list_filter(t.data, lambda r: len(list_filter(r, lambda
     "table_statuses": f"""SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(lower(cell), {q(p)}) THEN {q(k)}" for k, p in L.STATUS.items())} ELSE 'non_défini' END AS status, count(*) AS cells FROM (
 SELECT doc_id, unnest(flatten(t.data[2:])) AS cell FROM (SELECT doc_id, unnest(tables) AS t FROM {LATEST_DOCS})) WHERE coalesce(cell, '') <> '' GROUP BY 1, 2""",
     "question_intents": f"""SELECT result_id, CASE {' '.join(f"WHEN regexp_matches(lower(coalesce(query, '')), {q('|'.join(p))}) THEN {q(k)}" for k, p in reversed(L.QUESTION_INTENTS.items()))} ELSE 'general' END AS intent FROM {RESULTS}""",
-    "audited_sources": f"""WITH used AS (SELECT DISTINCT response_id, result_id, TRY_CAST(s AS BIGINT) AS strip_id FROM (SELECT response_id, result_id, unnest(sources_used) AS s FROM generated_responses)),
+    "audited_sources": _GRADED
+    + rf""",
 ctx AS (SELECT result_id, {sql_best([(n, f'c{i}') for i, n in enumerate(L.CONTEXT_PATTERNS)], 'compliance_general')} AS audit FROM (SELECT result_id, {', '.join(' + '.join(f"regexp_matches(low, {q(p)})::INT" for p in ps) + f' AS c{i}' for i, ps in enumerate(L.CONTEXT_PATTERNS.values()))}
   FROM (SELECT result_id, lower(coalesce(query, '')) AS low FROM {RESULTS}))),
-j AS (SELECT response_id, strip_id, audit, context.doc_type AS kind, coalesce(context.is_official, false) AS official, coalesce(content, '') AS t, lower(coalesce(content, '')) AS low FROM used JOIN ctx USING (result_id) JOIN {STRIPS} USING (strip_id)),
+j AS (SELECT response_id, strip_id, audit, context.doc_type AS kind, coalesce(context.is_official, false) AS official, coalesce(content, '') AS t, lower(coalesce(content, '')) AS low, g.score AS base FROM used JOIN ctx USING (result_id) JOIN {STRIPS} USING (strip_id) JOIN (SELECT response_id, strip_id, score FROM graded) g USING (response_id, strip_id)),
 m AS (SELECT *, least(0.15::DOUBLE, 0.05::DOUBLE * ({_MAPPED})) AS mapped FROM (SELECT *, regexp_extract_all(t, 'A\.[0-9]+(?:\.[0-9]+)?') AS iso, list_concat(regexp_extract_all(t, '[A-Z]{{2}}-[0-9]+'), regexp_extract_all(t, 'CIS\s+[0-9]+')) AS other FROM j))
-SELECT response_id, strip_id, audit, round(CASE {' '.join(_audit_case(r) for r in L.AUDIT_RULES)} ELSE 0.5::DOUBLE END, 6) AS score FROM m""",
+SELECT response_id, strip_id, audit, round(CASE {' '.join(_audit_case(r) for r in L.AUDIT_RULES)} ELSE base END, 6) AS score FROM m""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kerfline.plans import reference
+from kerfline.plans import pipeline, reference, stripping
 
-FLAGSHIP = "refined_sources"
+FLAGSHIP = "question_answers"
 
-QUERIES: dict = {**reference.QUERIES}
-SQL: dict[str, str] = {**reference.SQL}
+QUERIES: dict = {**reference.QUERIES, **stripping.QUERIES, **pipeline.QUERIES}
+SQL: dict[str, str] = {**reference.SQL, **stripping.SQL, **pipeline.SQL}

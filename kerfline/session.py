@@ -40,3 +40,15 @@ def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     best = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
     return best.select(key, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def latest_rows(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of ``df`` without redeliveries: of each key those with the greatest ``order``.
+
+    Only (key, order) is shuffled to find the keys that came more than once; their small table is joined
+    to the rows, so that texts stay where they are as long as it can be broadcast by its size.
+    """
+    from pyspark.sql import functions as F
+
+    again = df.groupBy(key).agg(F.max(order).alias("_last"), F.count(F.lit(1)).alias("_times")).where("_times > 1").drop("_times")
+    return df.join(again, key, "left").where(F.col("_last").isNull() | (F.col(order) == F.col("_last"))).drop("_last")

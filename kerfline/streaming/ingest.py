@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.session import cut
+from kerfline.session import shared_folder
 
 
 def arriving(spark: SparkSession, path: str) -> DataFrame:
@@ -32,20 +34,26 @@ def daily_counts(stream: DataFrame, late: str = "30 days") -> DataFrame:
 
 
 def daily_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Everything that lies at ``path`` now, counted as a stream; the last state of each window."""
-    parts = []
+    """Everything that lies at ``path`` now, counted as a stream; the last state of each window.
+
+    Each batch is written to a folder of its own in the shared folder, so a batch that is run again replaces itself;
+    the progress of the stream lies there too.
+    """
+    folder = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        parts.append(cut(batch.select(F.col("w.start").cast("date").alias("day"), "doc_type", "documents")))
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("w.start").cast("date").alias("day"), "doc_type", "documents").write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
 
-    s = daily_counts(arriving(spark, path)).writeStream.outputMode("update").trigger(availableNow=True).foreachBatch(keep).start()
+    s = daily_counts(arriving(spark, path)).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(keep).start()
     s.awaitTermination()
-    if not parts:
-        return spark.createDataFrame([], "day date, doc_type string, documents bigint")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("day", "doc_type").agg(F.max("documents").alias("documents"))
+    schema = "day date, doc_type string, documents bigint, batch bigint"
+    states = spark.read.schema(schema).parquet(f"{folder}/states") if _is_there(spark, f"{folder}/states") else spark.createDataFrame([], schema)
+    return states.groupBy("day", "doc_type").agg(F.max_by("documents", "batch").alias("documents"))
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def append_to_index(stream: DataFrame, index: str, checkpoint: str, embed):
