@@ -77,9 +77,12 @@ def relevance(score: Column) -> Column:
 
 
 def grade(pairs: DataFrame) -> DataFrame:
-    """pairs with keyword, content_type, score, confidence and relevance."""
+    """pairs with keyword, content_type, score, confidence and relevance; ``concepts`` of the query are used where they are given."""
     q, c = F.col("query"), F.coalesce(F.col("content"), F.lit(""))
-    s = pairs.withColumn("keyword", F.round(keyword_score(q, c), 9)).withColumn("content_type", content_type_score(q, F.col("strip_type")))
+    given = F.col("concepts") if "concepts" in pairs.columns else concepts(q)
+    s = pairs.select(*[x for x in pairs.columns if x != "concepts"], F.lower(c).alias("_low"), given.alias("_concepts"))
+    s = s.withColumn("keyword", F.round(_keyword_score(F.col("_low"), F.col("_concepts")), 9)).drop("_low", "_concepts")
+    s = s.withColumn("content_type", content_type_score(q, F.col("strip_type")))
     mean, sure = combine([(F.col("keyword"), 0.30), (F.col("content_type"), 0.20)])  # the scores that there are
     s = s.withColumn("score", F.round(post_process(mean, q, c), 9)).withColumn("confidence", F.round(sure, 9))
     return s.withColumn("relevance", relevance(F.col("score")))

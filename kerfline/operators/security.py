@@ -14,24 +14,25 @@ def _lower(table: dict[str, list[str]]) -> dict[str, list[str]]:
 
 
 def named(lowered: Column, table: dict[str, list[str]]) -> Column:
-    """The labels of which a word occurs, in alphabetical order."""
-    found = let(lowered, lambda low: F.array(*[F.when(any_of(low, w), F.lit(k)) for k, w in _lower(table).items()]))
-    return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
+    """The labels of which a word occurs, in alphabetical order; ``lowered`` is a column that holds the text in lower case."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(any_of(lowered, w), F.lit(k)) for k, w in _lower(table).items()])))
 
 
 def context(df: DataFrame, key: str, text: str) -> DataFrame:
     """Frameworks, domains, risk levels, roles, vulnerability ids, kind, importance and criticality of each text."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    # lowered once, in a projection of its own: an expression that is used many times isn't merged into the next one
+    rest = [c for c in df.columns if c not in (key, text)]
+    df, low = df.select(key, text, *rest, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low")), F.col("_low")
     x = df.select(
         key,
-        *[c for c in df.columns if c not in (key, text)],
+        *rest,
         named(low, L.FRAMEWORK_VARIANTS).alias("frameworks"),
         named(low, L.SECURITY_DOMAINS).alias("domains"),
         named(low, L.RISK_LEVELS).alias("risks"),
         named(low, L.SECURITY_ROLES).alias("roles"),
         F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("CVE-[0-9]{4}-[0-9]{4,7}"), F.lit(0))).alias("vulnerabilities"),
-        let(low, lambda x: any_of(x, L.REQUIREMENT_WORDS)).alias("requires"),
-        let(low, lambda x: first_of(x, L.SECURITY_DOCUMENT_TYPES, "other")).alias("security_kind"),
+        any_of(low, L.REQUIREMENT_WORDS).alias("requires"),
+        first_of(low, L.SECURITY_DOCUMENT_TYPES, "other").alias("security_kind"),
     )
     score = 2 * F.size("frameworks") + F.when(F.col("requires"), 3).otherwise(0)
     score = score + F.when(F.array_contains("risks", "Critique"), 5).when(F.array_contains("risks", "Élevé"), 3).otherwise(0)
@@ -42,8 +43,8 @@ def context(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def domain_hits(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, domain, hits) of the domains that a text touches."""
-    n = let(F.lower(F.col(text)), lambda low: F.array(*[F.struct(F.lit(k).alias("domain"), hits(low, w).alias("hits")) for k, w in _lower(L.SECURITY_DOMAINS).items()]))
-    return df.where(F.col(text).isNotNull()).select(key, F.explode(F.filter(n, lambda s: s["hits"] > 0)).alias("s")).select(key, "s.domain", "s.hits")
+    n = F.array(*[F.struct(F.lit(k).alias("domain"), hits(F.col("_low"), w).alias("hits")) for k, w in _lower(L.SECURITY_DOMAINS).items()])
+    return df.where(F.col(text).isNotNull()).select(key, F.lower(F.col(text)).alias("_low")).select(key, F.explode(F.filter(n, lambda s: s["hits"] > 0)).alias("s")).select(key, "s.domain", "s.hits")
 
 
 def pair_confidence(question: Column, answer: Column) -> Column:

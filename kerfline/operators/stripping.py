@@ -20,6 +20,8 @@ from kerfline.functions import lexicon as L
 from kerfline.functions.text import any_of, first_of, let
 from kerfline.operators import strips
 
+#: The outer forms of explode are used on derived arrays: the plain ones make Spark infer a filter on the array, which
+#: is pushed below the projections and evaluates what they hold once for every element.
 EDGES = r"^\s+|\s+$"
 # How sections, statements, parts, steps, actors and questions are marked.
 SECTION_MARK = r"^(?:[0-9]+\.[0-9]*\s*|[A-Z]\.\s*|Article\s+[0-9]+|Annexe\s+|Appendice\s+)"
@@ -28,6 +30,8 @@ STATEMENTS = (
     r"(?:^|\n)(?:[0-9]+\.?\s*)?Tout.*?(?:doit|doivent|est|sont).*?(?:\.|;|\n\n)",
     r"(?:^|\n)(?:[0-9]+\.?\s*)?[\p{L}\p{N}_]+.*?(?:shall|must|shall not|must not).*?(?:\.|;|\n\n)",
 )
+#: A word of each list is in every match of the statement in the same place.
+MUST_HOLD = (["doit", "doivent", "ne doit pas", "ne doivent pas"], ["Tout"], ["shall", "must"])
 PARTS = {"objective": "objectif|but|purpose|scope", "prerequisites": "prérequis|pré-requis|prerequisites|conditions", "steps": "étapes|procédure|steps|process", "responsibilities": "responsabilit|raci|roles"}
 STEPS = (
     r"(?:Étape|Step)\s+([0-9]+)\s*[:\-.]?\s*(.+?)(?=(?:Étape|Step)\s+[0-9]+|$)",
@@ -87,7 +91,7 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, header, level, content); lines before the first mark make a section without a header."""
     x = df.where(F.col(text).isNotNull()).select(key, F.filter(F.split(F.col(text), "\n"), lambda v: trim(v) != "").alias("_lines")).where(F.size("_lines") > 0)
     x = x.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | trim(F.get("_lines", i)).rlike(SECTION_MARK)))
-    x = x.select(key, "_lines", F.posexplode(spans(F.col("_starts"), F.size("_lines"))).alias("position", "_s"))
+    x = x.select(key, "_lines", F.posexplode_outer(spans(F.col("_starts"), F.size("_lines"))).alias("position", "_s")).where("position IS NOT NULL")
     first = trim(F.get("_lines", F.col("_s.from")))
     x = x.select(key, "position", first.alias("_first"), trim(F.array_join(F.slice("_lines", F.col("_s.from") + 1, F.col("_s.n")), "\n")).alias("content"))
     marked = F.col("_first").rlike(SECTION_MARK)
@@ -96,7 +100,9 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def statements(content: Column) -> Column:
     """Statements of a policy of five words or more, by pattern; the whole content where there is none."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(content, F.lit(FLAGS + p), F.lit(0)) for p in STATEMENTS]))
+    none = F.array().cast("array<string>")
+    # a pattern without its words can't match, and would search to the end from every line
+    found = F.flatten(F.array(*[F.when(any_of(content, words), F.regexp_extract_all(content, F.lit(FLAGS + p), F.lit(0))).otherwise(none) for p, words in zip(STATEMENTS, MUST_HOLD, strict=True)]))
     kept = F.filter(F.transform(found, trim), lambda s: F.size(F.split(s, r"\s+")) >= 5)
     return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(content)))
 
@@ -105,7 +111,7 @@ def policy_strips(df: DataFrame, key: str, text: str) -> DataFrame:
     """A strip per statement (position: section * 100 + number) where a section has several, else the section."""
     x = sections(df, key, text).withColumn("_all", statements(F.col("content")))
     many = F.size("_all") > 1
-    x = x.select(key, "position", many.alias("_many"), F.posexplode(F.when(many, F.col("_all")).otherwise(F.array("content"))).alias("_j", "content"))
+    x = x.select(key, "position", many.alias("_many"), F.posexplode_outer(F.when(many, F.col("_all")).otherwise(F.array("content"))).alias("_j", "content"))
     return x.select(
         key, F.when(F.col("_many"), F.col("position") * 100 + F.col("_j")).otherwise(F.col("position")).alias("position"),
         F.when(F.col("_many"), "policy_statement").otherwise("policy_section").alias("strip_type"), "content", F.lit("policy").alias("category"),
@@ -139,11 +145,11 @@ def procedure_strips(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = lambda v: reduce(lambda w, p: w.when(F.lower(v).rlike(p[1]), p[0]), list(PARTS.items())[1:], F.when(F.lower(v).rlike(next(iter(PARTS.values()))), next(iter(PARTS))))
     x = x.withColumn("_kinds", F.transform("_lines", kind))
     x = x.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | F.get("_kinds", i).isNotNull()))
-    x = x.select(key, "_lines", "_kinds", F.posexplode(spans(F.col("_starts"), F.size("_lines"))).alias("part", "_s"))
+    x = x.select(key, "_lines", "_kinds", F.posexplode_outer(spans(F.col("_starts"), F.size("_lines"))).alias("part", "_s")).where("part IS NOT NULL")
     of = F.when(F.col("_s.from") == 0, "general").otherwise(F.get("_kinds", F.col("_s.from")))
     x = x.select(key, "part", of.alias("_of"), F.array_join(F.slice("_lines", F.col("_s.from") + 1, F.col("_s.n")), "\n").alias("_text"))
     is_steps = F.col("_of") == "steps"
-    x = x.select(key, "part", "_of", F.posexplode(F.when(is_steps, steps(F.col("_text"))).otherwise(F.array(F.struct(F.lit("").alias("number"), F.col("_text").alias("content"))))).alias("_j", "_p"))
+    x = x.select(key, "part", "_of", F.posexplode_outer(F.when(is_steps, steps(F.col("_text"))).otherwise(F.array(F.struct(F.lit("").alias("number"), F.col("_text").alias("content"))))).alias("_j", "_p"))
     return x.select(
         key, F.when(is_steps, F.col("part") * 100 + F.col("_j")).otherwise(F.col("part")).alias("position"), F.when(is_steps, "procedure_step").otherwise(F.concat(F.lit("procedure_"), "_of")).alias("strip_type"),
         F.col("_p.content").alias("content"), F.lit("procedure").alias("category"), F.col("_p.number").alias("step"), F.when(is_steps, F.col("_p.content").rlike(r"[a-z]\)")).otherwise(False).alias("has_substeps"), actors(F.col("_p.content")).alias("actors"),
@@ -160,7 +166,7 @@ def faq_strips(df: DataFrame, key: str, text: str) -> DataFrame:
         out = out.when(F.size(p) > 0, F.transform(p, text_of))
     paragraphs = F.filter(F.transform(F.split(c, r"\n\s*\n"), trim), lambda x: x != "")
     x = df.where(c.isNotNull()).select(key, out.alias("_pairs"), paragraphs.alias("_rest"))
-    x = x.select(key, F.when(F.col("_pairs").isNull(), "faq_content").otherwise("faq_entry").alias("strip_type"), F.posexplode(F.coalesce("_pairs", "_rest")).alias("position", "content"))
+    x = x.select(key, F.when(F.col("_pairs").isNull(), "faq_content").otherwise("faq_entry").alias("strip_type"), F.posexplode_outer(F.coalesce("_pairs", "_rest")).alias("position", "content")).where("position IS NOT NULL")
     return x.select(key, "position", "strip_type", "content", F.lit("faq").alias("category"), topics(F.col("content")).alias("topics"))
 
 
@@ -205,7 +211,7 @@ def adaptive_strips(df: DataFrame, key: str, text: str) -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("next"), F.lit(False).alias("items"), F.array().cast("array<int>").alias("starts"))
     x = x.withColumn("_starts", F.aggregate(F.sequence(F.lit(0), F.size("_n") - 1), begin, walk)["starts"])
-    x = x.select(key, "_s", "_f", F.explode(spans(F.col("_starts"), F.size("_s"))).alias("_p"))
+    x = x.select(key, "_s", "_f", F.explode_outer(spans(F.col("_starts"), F.size("_s"))).alias("_p")).where("_p IS NOT NULL")
     first = F.get("_f", F.col("_p.from"))
     x = x.select(key, F.col("_p.from").alias("position"), F.col("_p.n").alias("merged"), first["category"].alias("category"), first["kind"].alias("_kind"), F.slice("_s", F.col("_p.from") + 1, F.col("_p.n")).alias("_s"))
     bullet = lambda s: s.rlike(FOLLOWERS["control"][3]) & ~any_of(F.lower(s), FOLLOWERS["control"][2])

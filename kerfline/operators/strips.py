@@ -10,7 +10,12 @@ from kerfline.functions.text import any_of, best_of, first_of, hits, let, presen
 
 
 def category(text: Column) -> Column:
-    return let(F.lower(text), lambda low: best_of([(name, hits(low, words, weight)) for name, weight, words in L.CATEGORIES], "general"))
+    return let(F.lower(text), category_of)
+
+
+def category_of(low: Column) -> Column:
+    """The category of a text in lower case."""
+    return best_of([(name, hits(low, words, weight)) for name, weight, words in L.CATEGORIES], "general")
 
 
 def compliance_references(text: Column) -> Column:
@@ -18,8 +23,11 @@ def compliance_references(text: Column) -> Column:
 
 
 def control_types(text: Column) -> Column:
-    found = let(F.lower(text), lambda low: F.array(*[F.when(any_of(low, words), F.lit(name)) for name, words in L.CONTROL_TYPES.items()]))
-    return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
+    return let(F.lower(text), control_types_of)
+
+
+def control_types_of(low: Column) -> Column:
+    return F.array_sort(F.array_compact(F.array(*[F.when(any_of(low, words), F.lit(name)) for name, words in L.CONTROL_TYPES.items()])))
 
 
 def obligation(text: Column) -> Column:

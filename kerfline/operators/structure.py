@@ -37,7 +37,7 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     x = df.where(F.col(text).isNotNull()).select(key, F.filter(numbered, lambda v: v["line"] != "").alias("_lines")).where(F.size("_lines") > 0)
     x = x.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i)["line"].rlike(TITLE)))
     ends = F.transform("_starts", lambda s, i: F.struct(s.alias("from"), F.coalesce(F.get("_starts", i + 1), F.size("_lines")).alias("to")))
-    x = x.select(key, "_lines", F.explode(ends).alias("_s"))
+    x = x.select(key, "_lines", F.explode_outer(ends).alias("_s")).where("_s IS NOT NULL")  # outer: no filter on the array is pushed below
     title = F.get("_lines", F.col("_s.from"))
     body = F.array_join(F.slice("_lines.line", F.col("_s.from") + 2, F.col("_s.to") - F.col("_s.from") - 1), "\n")
     x = x.select(key, title["no"].alias("start_line"), title["line"].alias("title"), body.alias("content"))

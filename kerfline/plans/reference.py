@@ -40,11 +40,12 @@ def doc_types(spark, d):
     def score(v, words):
         n = F.lit(0)
         for w in words:
-            n = n + v["low"].contains(w).cast("int") + F.when(v["name"].contains(w.replace(" ", "_")) | v["name"].contains(w.replace(" ", "-")), 2).otherwise(0)
+            n = n + v["_low"].contains(w).cast("int") + F.when(v["_name"].contains(w.replace(" ", "_")) | v["_name"].contains(w.replace(" ", "-")), 2).otherwise(0)
         return n
 
-    kind = let(F.struct(low.alias("low"), name.alias("name")), lambda v: best_of([(k, score(v, words)) for k, words in L.DOCUMENT_TYPES.items()], "general"))
-    rows = table(spark, d, "parsed_docs").select("doc_id", "loaded_at", kind.alias("kind"))
+    v = {"_low": F.col("_low"), "_name": F.col("_name")}
+    kind = best_of([(k, score(v, words)) for k, words in L.DOCUMENT_TYPES.items()], "general")
+    rows = table(spark, d, "parsed_docs").select("doc_id", "loaded_at", low.alias("_low"), name.alias("_name")).select("doc_id", "loaded_at", kind.alias("kind"))
     return latest_per_key(rows, "doc_id", "loaded_at").select("doc_id", "kind")
 
 
@@ -119,17 +120,18 @@ def doc_dates(spark, d):
 
 # -- strips and questions ------------------------------------------------------------
 def strip_domain(spark, d):
-    s = table(spark, d, "knowledge_strips")
-    text = F.coalesce(F.col("content"), F.lit(""))
+    # lowered once, in a projection of its own
+    s = table(spark, d, "knowledge_strips").select("strip_id", "content", "domain_category", "compliance_refs", "context", F.lower(F.coalesce("content", F.lit(""))).alias("_low"))
+    text, low = F.coalesce(F.col("content"), F.lit("")), F.col("_low")
     refs = F.when(F.coalesce(F.size("compliance_refs"), F.lit(0)) > 0, F.array_sort("compliance_refs")).otherwise(strips.compliance_references(text))
     return s.select(
         "strip_id",
-        F.when(F.coalesce("domain_category", F.lit("")) != "", F.col("domain_category")).otherwise(strips.category(text)).alias("category"),
+        F.when(F.coalesce("domain_category", F.lit("")) != "", F.col("domain_category")).otherwise(strips.category_of(low)).alias("category"),
         F.array_join(refs, ",").alias("refs"),
-        F.array_join(strips.control_types(text), ",").alias("controls"),
-        strips.obligation(text).alias("obligation"),
-        let(F.lower(text), lambda x: any_of(x, L.REQUIREMENT_WORDS)).alias("is_requirement"),
-        let(F.lower(text), lambda x: any_of(x, L.CRITICAL_WORDS)).alias("is_critical"),
+        F.array_join(strips.control_types_of(low), ",").alias("controls"),
+        first_of(low, L.OBLIGATIONS, "informational").alias("obligation"),
+        any_of(low, L.REQUIREMENT_WORDS).alias("is_requirement"),
+        any_of(low, L.CRITICAL_WORDS).alias("is_critical"),
         strips.authority(F.coalesce(F.col("context.doc_type"), F.lit("general"))).alias("authority"),
     ).distinct()
 
@@ -153,10 +155,10 @@ def question_concepts(spark, d):
 
 
 def _graded(spark, d):
-    results = latest_per_key(table(spark, d, "crag_results").select("result_id", "query", "logged_at"), "result_id", "logged_at").select("result_id", "query")
+    results = latest_per_key(table(spark, d, "crag_results").select("result_id", "query", "logged_at"), "result_id", "logged_at").select("result_id", "query", grading.concepts(F.col("query")).alias("concepts"))
     used = table(spark, d, "generated_responses").select("response_id", "result_id", F.explode("sources_used").alias("s")).select("response_id", "result_id", F.expr("try_cast(s AS bigint)").alias("strip_id")).distinct()
     texts = table(spark, d, "knowledge_strips").select("strip_id", "content", "strip_type").dropDuplicates(["strip_id"])
-    return grading.grade(used.join(results, "result_id").join(texts, "strip_id").select("response_id", "strip_id", "query", "content", "strip_type"))
+    return grading.grade(used.join(results, "result_id").join(texts, "strip_id").select("response_id", "strip_id", "query", "concepts", "content", "strip_type"))
 
 
 def graded_sources(spark, d):
