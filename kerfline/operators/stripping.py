@@ -170,9 +170,9 @@ def faq_strips(df: DataFrame, key: str, text: str) -> DataFrame:
     return x.select(key, "position", "strip_type", "content", F.lit("faq").alias("category"), topics(F.col("content")).alias("topics"))
 
 
-def _follows(s: Column, category: str) -> Column:
+def _follows(s: Column, low: Column, category: str) -> Column:
     _, _, words, bullet, _ = FOLLOWERS[category]
-    hit = any_of(F.lower(s), words)
+    hit = any_of(low, words)
     return hit | s.rlike(bullet) if bullet else hit
 
 
@@ -185,12 +185,16 @@ def adaptive_strips(df: DataFrame, key: str, text: str) -> DataFrame:
     names = list(FOLLOWERS)
     x = df.where(F.col(text).isNotNull()).select(key, sentences_of(F.col(text)).alias("_s")).where(F.size("_s") > 0)
 
-    def features(s: Column) -> Column:
-        low, category = F.lower(s), strips.category(s)
+    # step by step, as expressions within a lambda are evaluated each time they occur
+    x = x.withColumn("_l", F.transform("_s", lambda s: F.struct(s.alias("s"), F.lower(s).alias("low"))))
+    x = x.withColumn("_l", F.transform("_l", lambda v: F.struct(v["s"].alias("s"), v["low"].alias("low"), strips.category_of(v["low"]).alias("category"))))
+
+    def features(v: Column) -> Column:
+        s, low, category = v["s"], v["low"], v["category"]
         kind = F.when(~category.isin("general", "audit"), category).when(low.rlike(DEFINITION), "definition").when(low.rlike(EXAMPLE), "example").when(s.rlike(ENUMERATION), "enumeration").otherwise("statement")
-        return F.struct(category.alias("category"), kind.alias("kind"), s.rlike(ENUMERATION).alias("item"), low.rlike(GOES_ON).alias("definition"), *[_follows(s, c).alias(c) for c in names])
+        return F.struct(category.alias("category"), kind.alias("kind"), s.rlike(ENUMERATION).alias("item"), low.rlike(GOES_ON).alias("definition"), *[_follows(s, low, c).alias(c) for c in names])
 
-    x = x.withColumn("_f", F.transform("_s", features))
+    x = x.withColumn("_f", F.transform("_l", features))
 
     def length(f: Column, i: Column) -> Column:
         out = F.when(F.lit(False), F.lit(1))
