@@ -1,3 +1,4 @@
+import inspect
 import random
 import re
 
@@ -84,3 +85,20 @@ def test_large_shards_go_to_the_second_round(spark, monkeypatch):
     got = {tuple(r) for r in N.near_duplicate_records(df, "id", "x", 0.6, 3, 20).collect()}
     want = brute(rows, 0.6, 3, 20)
     assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_usual_phrases_make_few_pairs():
+    """Texts that have a tenth in common hardly meet, however many they are; texts at the threshold do."""
+    use = {k: p.default for k, p in inspect.signature(N.near_pairs).parameters.items() if k in ("bands", "rows")}
+    h, rng = N.Hasher(3, **use), np.random.default_rng(3)
+
+    def met(similarity, n=3000, size=80):
+        both = round(size * 2 * similarity / (1 + similarity))
+        sets = [np.unique(np.concatenate([c, rng.integers(0, 2**32, size - both, dtype=np.uint32)])) for c in rng.integers(0, 2**32, (n, both), dtype=np.uint32) for _ in "ab"]
+        keys, f = h.sign(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]))
+        near = N.distance(f[::2], f[1::2]) <= 41
+        shard = (keys[::2] == keys[1::2]).any(1)
+        return shard.mean(), (shard & near).mean()
+
+    assert met(0.1)[0] < 0.008
+    assert met(0.6)[1] > 0.985 and met(0.7)[1] > 0.998
