@@ -7,8 +7,13 @@
    numbers count where they go on from page to page.
 3. Words cut at a line end: the mark isn't part of the word if the frequent words have the
    joined word more often than the hyphenated one.
-4. Skip-gram vectors (Word2Vec over all documents). A rare word lies where its surroundings
-   lie: its vector is the mean of those of the words around all its places.
+4. Skip-gram vectors. The pairs of words within a window are counted over all documents
+   (distributed), and the vectors are what skip-gram with one negative sample a pair tends to:
+   the factors of the pointwise mutual information of its pairs (Levy, Goldberg 2014), its
+   positive part, found by rounds of products over the counted pairs. Only shares of pairs
+   enter and the rounds are a fixed number, so the vectors stay when all counts grow alike.
+   A rare word lies where its surroundings lie: its vector is the mean of those of the words
+   around all its places.
 5. Misread words: for each rare word the frequent words that plausible glyph edits lead to
    are ranked by how near they are to it among the frequent words, and how near to the
    surroundings of the place itself. That rank and the counts decide together, for every
@@ -497,25 +502,114 @@ def frequent_words(df: DataFrame, text: str, share: float = SHARE) -> dict[str,
     return {r.w: r.n for r in counted.where(F.col("n") >= max(2, share * total)).collect()}
 
 
+#: Products with the matrix of pairs from which the vectors come, at any size.
+ROUNDS = 5
+#: Words that are paired at once, and cells of the matrix in a row (memory bounds only).
+WORDS_AT_ONCE, CELLS = 500_000, 500_000
+LONG_WORDS = re.compile(r"[^\W\d_]{4,}").findall
+
+
+def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, and the sum of ``n`` of each."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[start], np.add.reduceat(n, start) if len(start) else n
+
+
+def pairs_within(ids: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i << 32 | j, how often), both ways, of words at most ``window`` places apart in a document."""
+    codes = []
+    for d in range(1, window + 1):
+        a, b = ids[:-d], ids[d:]
+        same = doc[:-d] == doc[d:]
+        a, b = a[same], b[same]
+        codes.append(np.minimum(a, b) << 32 | np.maximum(a, b))
+    code = np.sort(np.concatenate(codes))
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    n, code = np.diff(np.append(start, len(code))), code[start]
+    return np.concatenate([code, (code & 0xFFFFFFFF) << 32 | code >> 32]), np.concatenate([n, n])
+
+
+def word_pairs(docs: DataFrame, content: str, words: list[str], window: int) -> DataFrame:
+    """(i, j, n), a row of many cells each: how often word j lies within the window of word i; all cells of a word i come from one task."""
+    shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})  # no more than the frequent words
+
+    def count(batches):
+        at = shared.value
+        for b in batches:
+            flat: list[int] = []
+            ends: list[int] = []
+            texts = b.column(0).to_pylist()
+            for k, t in enumerate(texts):
+                if t:
+                    flat += [x for w in LONG_WORDS(t.lower()) if (x := at.get(w)) is not None]
+                ends.append(len(flat))
+                if flat and (len(flat) > WORDS_AT_ONCE or k + 1 == len(texts)):
+                    code, n = pairs_within(np.array(flat, np.int64), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), window)
+                    yield pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["i", "j", "n"])
+                    flat, ends = [], []
+
+    def pack(batches):
+        code, n, new = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for b in batches:
+            i, j, k = (b.column(c).to_numpy() for c in range(3))
+            new.append((i.astype(np.int64) << 32 | j, k))
+            if sum(len(c) for c, _ in new) > max(len(code), CELLS):
+                code, n = summed(np.concatenate([code, *(c for c, _ in new)]), np.concatenate([n, *(k for _, k in new)]))
+                new = []
+        code, n = summed(np.concatenate([code, *(c for c, _ in new)]), np.concatenate([n, *(k for _, k in new)]))
+        for low in range(0, len(code), CELLS):
+            c = code[low : low + CELLS]
+            cells = (c >> 32).astype(np.int32), (c & 0xFFFFFFFF).astype(np.int32), n[low : low + CELLS]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cells], names=["i", "j", "n"])
+
+    counted = docs.select(content).mapInArrow(count, "i int, j int, n bigint")
+    return cut(counted.repartition("i").mapInArrow(pack, "i binary, j binary, n binary"))
+
+
+def product(cells: DataFrame, v: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """The matrix times ``v``: of how often the words were paired, or of their positive pointwise mutual information if ``seen`` has the sums of that."""
+    shared = cells.sparkSession.sparkContext.broadcast((v.astype(np.float32), seen))
+
+    def run(batches):
+        v, seen = shared.value
+        for b in batches:
+            for i, j, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                i, j, x = np.frombuffer(i, np.int32), np.frombuffer(j, np.int32), np.frombuffer(n, np.int64).astype(float)
+                if seen is not None:
+                    x = np.maximum(np.log(x / seen[i] / seen[j] * seen.sum()), 0.0)
+                start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                got = np.stack([np.add.reduceat(x * v[j, k], start) for k in range(v.shape[1])], 1)
+                yield pa.RecordBatch.from_arrays([pa.array([i[start].tobytes()], pa.binary()), pa.array([got.tobytes()], pa.binary())], names=["i", "v"])
+
+    out = np.zeros(v.shape)
+    for r in cells.mapInArrow(run, "i binary, v binary").collect():  # no more rows of the product than the frequent words, and one for each row of cells
+        np.add.at(out, np.frombuffer(r.i, np.int32), np.frombuffer(r.v, float).reshape(-1, v.shape[1]))
+    shared.destroy()
+    return out
+
+
 def skip_gram(docs: DataFrame, content: str, known: dict[str, int], size: int = 16, window: int = 3, seed: int = 3) -> tuple[list[str], np.ndarray]:
     """(words, vectors) by skip-gram over all documents; the words lie within the bounded frequent words.
 
     Words of four letters or more take part: shorter ones are function words, which say little about a place.
     """
-    from pyspark.ml.feature import Word2Vec
-
-    least = max(LEAST, min(known.values(), default=LEAST))
-    if not any(n >= least and len(w) > 3 and w.isalpha() for w, n in known.items()):
+    words = sorted(w for w in known if len(w) > 3 and w.isalpha())
+    if not words:
         return [], np.zeros((0, size), np.float32)
-    # written once, as the words are counted and then read in every pass
-    words = cut(docs.select(F.regexp_extract_all(F.lower(F.col(content)), F.lit(r"\p{L}{4,}"), F.lit(0)).alias("words")).where(F.size("words") > 1))
-    total = sum(known.values())
-    parts = int(min(max(total // 1_000_000, 4), 400))  # a task for each million words
-    passes = int(min(max(1_500_000 // max(total, 1), 1), 20))  # small tables are read more often, as vectors need some million places
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=passes, numPartitions=parts, seed=seed, inputCol="words", outputCol="v", maxSentenceLength=400)
-    rows = model.fit(words).getVectors().collect()  # no more than the frequent words
-    rows.sort(key=lambda r: r.word)
-    return [r.word for r in rows], np.array([r.vector.toArray() for r in rows], np.float32).reshape(len(rows), size)
+    cells = word_pairs(docs, content, words, window)
+    seen = product(cells, np.ones((len(words), 1)))[:, 0]
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(words), size)))[0]
+    for _ in range(ROUNDS):
+        y = product(cells, q, seen)
+        inner = q.T @ y
+        last, q = q, np.linalg.qr(y)[0]
+    value, turn = np.linalg.eigh((inner + inner.T) / 2)
+    v = np.zeros((len(words), size), np.float32)
+    v[:, : len(value)] = last @ turn * np.sqrt(np.abs(value))
+    held = np.flatnonzero(seen)  # a word without neighbours has no vector
+    return [words[k] for k in held], v[held]
 
 
 class Surroundings:

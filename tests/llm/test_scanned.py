@@ -1,3 +1,5 @@
+import numpy as np
+
 from kerfline.llm import scanned as S
 
 BODY = "Le comité de pilotage doit documenter les risques résiduels du portail avant la revue annuelle et prévenir la personne responsable du dispositif de sauvegarde. "
@@ -113,3 +115,27 @@ def test_surroundings_decide_between_words_of_like_counts(spark):
     got = S.decided(spark.createDataFrame(note, S.NOTE), known, near).first()
     assert got.meant == "vente"
     assert S.decided(spark.createDataFrame(note, S.NOTE), known, near, 0.0).first().meant == "vinte"
+
+
+def test_vectors_stay_when_the_corpus_grows(spark):
+    """The surroundings of a word are the same in a table of many times the rows."""
+    df = spark.createDataFrame(corpus(), "doc_id bigint, content string, parsing_errors array<string>")
+    known = S.frequent_words(df, "content")
+    one, many = (S.skip_gram(x, "content", {w: n * f for w, n in known.items()}) for f, x in ((1, df), (300, df.crossJoin(spark.range(300)).drop("id"))))
+    assert one[0] == many[0] and "comité" in one[0]
+    near = [v @ v.T for _, v in (one, many)]
+    assert np.allclose(*near, atol=1e-3 * np.abs(near[0]).max())
+
+
+def test_pairs_are_counted_whole(spark, monkeypatch):
+    rows = [("un deux trois quatre trois trois",), ("quatre",), (None,), ("",), ("deux trois",)]
+    df = spark.createDataFrame(rows, "t string").repartition(3)
+    words, want = ["deux", "quatre", "trois"], np.zeros((3, 3), int)
+    for t in (["deux", "trois", "quatre", "trois", "trois"], ["quatre"], ["deux", "trois"]):
+        for a in range(len(t)):
+            for b in range(len(t)):
+                want[words.index(t[a]), words.index(t[b])] += 0 < abs(a - b) <= 2
+    for at_once in (1, 500_000):
+        monkeypatch.setattr(S, "WORDS_AT_ONCE", at_once)
+        monkeypatch.setattr(S, "CELLS", at_once)
+        assert (S.product(S.word_pairs(df, "t", words, 2), np.eye(3)) == want).all()
